@@ -72,11 +72,10 @@ def touch_updated_at(df: DataFrame, updated: Column, as_of: Column, column: str
     return df.withColumn(column, F.when(updated, as_of).otherwise(F.col(column)))
 
 
-def update_patch(target: DataFrame, batch: DataFrame, key: str, columns: list[str], seq: str | None = None,
-                 patch_cols: str | None = None, touch: tuple[str, Column] | None = None) -> DataFrame:
-    """Set the listed columns of rows found by key; an explicit null overwrites, unknown keys do nothing."""
-    folded = fold_patches(batch, key, columns, seq, patch_cols).withColumn("_hit", F.lit(True))
-    joined = target.join(folded.withColumnRenamed(key, "_key"), target[key] == F.col("_key"), "left")
+def _apply_patches(target: DataFrame, folded: DataFrame, key: str, columns: list[str],
+                   touch: tuple[str, Column] | None) -> DataFrame:
+    patches = folded.withColumnRenamed(key, "_key").withColumn("_hit", F.lit(True))
+    joined = target.join(patches, target[key] == F.col("_key"), "left")
     hit = F.col("_hit").isNotNull()
 
     def value(name):
@@ -89,6 +88,18 @@ def update_patch(target: DataFrame, batch: DataFrame, key: str, columns: list[st
     return joined.select(*[value(name).alias(name) for name in target.columns])
 
 
+def update_patch(target: DataFrame, batch: DataFrame, key: str, columns: list[str], seq: str | None = None,
+                 patch_cols: str | None = None, touch: tuple[str, Column] | None = None) -> DataFrame:
+    """Set the listed columns of rows found by key; an explicit null overwrites, unknown keys do nothing."""
+    folded = fold_patches(batch, key, columns, seq, patch_cols)
+    return _apply_patches(target, folded, key, columns, touch)
+
+
+def unmatched_keys(target: DataFrame, batch: DataFrame, key: str) -> DataFrame:
+    """Keys of a patch or delete that found no row."""
+    return batch.select(key).distinct().join(target.select(key), key, "left_anti")
+
+
 def set_availability(target: DataFrame, batch: DataFrame, key: str = "id", flag: str = "is_available",
                      seq: str | None = None, touch: tuple[str, Column] | None = None) -> DataFrame:
     """Flag patch; the given value is coerced, so null means not available."""
@@ -103,24 +114,28 @@ def delete_rows(target: DataFrame, keys: DataFrame, key: str = "id") -> DataFram
 def upsert(target: DataFrame, batch: DataFrame, key: str, defaults: dict[str, Column] | None = None,
            columns: list[str] | None = ALL_COLUMNS, patch_cols: str | None = None,
            touch: tuple[str, Column] | None = None) -> DataFrame:
-    """Patch rows whose key exists, insert the others; a key given twice in the batch is an error."""
+    """Patch rows whose key exists, insert the others; a key given twice in the batch is an error.
+
+    Two one-sided joins instead of a full one: while the batch is small enough to broadcast, the target
+    is read but never shuffled.
+    """
     defaults = defaults or {}
     columns = [c for c in (columns or target.columns) if c != key and c in batch.columns]
-    folded = fold_patches(batch, key, columns, None, patch_cols) \
-        .withColumnRenamed(key, "_key").withColumn("_hit", F.lit(True))
-    joined = target.withColumn("_old", F.lit(True)).join(folded, target[key] == F.col("_key"), "full")
-    is_old, hit = F.col("_old").isNotNull(), F.col("_hit").isNotNull()
+    folded = fold_patches(batch, key, columns, None, patch_cols)
+    known = target.select(key).join(folded.select(key), key, "left_semi")
+    fresh = folded.join(known, key, "left_anti")
 
     def value(name):
         if name == key:
-            return F.coalesce(F.col(key), _typed(F.col("_key"), target, key))
-        fallback = F.when(is_old, F.col(name)).otherwise(_typed(defaults.get(name, F.lit(None)), target, name))
-        if name in columns:
-            box = F.col(f"_set_{name}")
-            fallback = F.when(box.isNotNull(), _typed(box["value"], target, name)).otherwise(fallback)
-        return touched(name, fallback, is_old & hit, touch)
+            return _typed(F.col(key), target, key)
+        default = _typed(defaults.get(name, F.lit(None)), target, name)
+        if name not in columns:
+            return default
+        box = F.col(f"_set_{name}")
+        return F.when(box.isNotNull(), _typed(box["value"], target, name)).otherwise(default)
 
-    return joined.select(*[value(name).alias(name) for name in target.columns])
+    inserted = fresh.select(*[value(name).alias(name) for name in target.columns])
+    return _apply_patches(target, folded, key, columns, touch).unionByName(inserted)
 
 
 def insert_if_absent(target: DataFrame, batch: DataFrame, key: str, seq: str,

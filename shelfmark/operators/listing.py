@@ -80,9 +80,10 @@ def admin_order(category_sort: str = "category_order", i: ItemCols = ITEMS) -> l
     return [F.col(category_sort), L.or_zero(i.order), by_locale(i.name), F.col(i.id)]
 
 
-def order_one_column(df: DataFrame, column: str, descending: bool = False, tie_break: str | None = None) -> DataFrame:
+def order_one_column(df: DataFrame, column: str, tie_break: str, descending: bool = False) -> DataFrame:
+    """Total order: the tie break also lets the sort cut a value that many rows share."""
     key = F.col(column).desc_nulls_first() if descending else F.col(column).asc_nulls_last()
-    return df.orderBy(key, *([tie_break] if tie_break else []))
+    return df.orderBy(key, tie_break)
 
 
 def limit_n(df: DataFrame, order: list, n: int = 1) -> DataFrame:

@@ -296,7 +296,7 @@ def _(s):
 
 @query("order_one_column", "select user_id, email from owner")
 def _(s):
-    return R.order_one_column(s.owners().select("user_id", "email"), "email", descending=True, tie_break="user_id")
+    return R.order_one_column(s.owners().select("user_id", "email"), "email", "user_id", descending=True)
 
 
 @query("limit_n", "select doc_id, n_chars from documents order by n_chars desc, doc_id limit 1")

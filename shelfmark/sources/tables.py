@@ -10,9 +10,12 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def scan_ordered(df: DataFrame, column: str, tie_break: str | None = None) -> DataFrame:
-    """Full read ordered by one column, nulls last as the stored tables order them."""
-    return df.orderBy(F.col(column).asc_nulls_last(), *([tie_break] if tie_break else []))
+def scan_ordered(df: DataFrame, column: str, tie_break: str) -> DataFrame:
+    """Full read ordered by one column, nulls last as the stored tables order them.
+
+    With the tie break the range sort can also split rows that share one value.
+    """
+    return df.orderBy(F.col(column).asc_nulls_last(), tie_break)
 
 
 def _single(df: DataFrame, message: str, wrong) -> DataFrame:

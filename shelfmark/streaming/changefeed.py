@@ -52,10 +52,13 @@ def write_delta(batch: DataFrame, batch_id: int, folder: str, key: str, order: l
 
 
 def change_apply(changes: DataFrame, folder: str, checkpoint: str, key: str, order: list[str],
-                 after: Callable[[DataFrame, int], None] | None = None, **trigger) -> StreamingQuery:
+                 after: Callable[[DataFrame, int], None] | None = None, compact_every: int = 100,
+                 **trigger) -> StreamingQuery:
     """Start applying a change stream to the state in `folder`; `after` sees each folded batch."""
     def apply(batch: DataFrame, batch_id: int) -> None:
         write_delta(batch, batch_id, folder, key, order)
+        if batch_id % compact_every == compact_every - 1:
+            compact(batch.sparkSession, folder, key, order)
         if after is not None:
             after(batch.sparkSession.read.parquet(f"{folder}/delta/batch={batch_id}"), batch_id)
 
@@ -87,7 +90,9 @@ def current_state(spark: SparkSession, folder: str, key: str, order: list[str],
 def compact(spark: SparkSession, folder: str, key: str, order: list[str]) -> int:
     """Fold base and deltas, tombstones included, into a new base; readers of the old one are not disturbed."""
     paths, last = _parts(spark, folder)
-    latest_per_key(spark.read.parquet(*paths), key, order).write.mode("overwrite").parquet(f"{folder}/base/upto={last}")
+    target = f"{folder}/base/upto={last}"
+    if target not in paths:  # a replayed batch finds its base already written
+        latest_per_key(spark.read.parquet(*paths), key, order).write.mode("overwrite").parquet(target)
     return last
 
 

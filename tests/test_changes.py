@@ -1,0 +1,101 @@
+"""Set-based writes: what is omitted, repeated, unknown or refused."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from shelfmark.operators import changes as C
+from shelfmark.operators.audit import seed_diff
+
+COLUMNS = "id int, a string, b int"
+
+
+@pytest.fixture(scope="module")
+def target(spark):
+    return spark.createDataFrame([(1, "x", 10), (2, "y", 20), (3, None, 30)], COLUMNS)
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def test_omitted_column_takes_the_default_and_null_stays(spark, target):
+    batch = spark.createDataFrame([(4, None)], "id int, a string")
+    assert (4, None, 7) in rows(C.insert_defaults(target, batch, {"a": F.lit("d"), "b": F.lit(7)}))
+    listed = spark.createDataFrame([(5, None, None, ["id", "a"]), (6, "q", None, ["id", "b"])], COLUMNS + ", patch_cols array<string>")
+    found = rows(C.new_rows(target, listed, {"a": F.lit("d"), "b": F.lit(7)}, "patch_cols"))
+    assert found == [(5, None, 7), (6, "d", None)]
+
+
+def test_patches_fold_in_order(spark, target):
+    batch = spark.createDataFrame([
+        (1, "late", None, 3, ["a"]), (1, "early", 99, 1, ["a", "b"]), (1, None, None, 2, ["b"]),
+        (2, None, None, 1, ["a"]), (3, "unused", None, 1, []), (9, "z", 1, 1, ["a"])],
+        COLUMNS + ", seq int, patch_cols array<string>")
+    assert rows(C.update_patch(target, batch, "id", ["a", "b"], "seq", "patch_cols")) == [
+        (1, "late", None), (2, None, 20), (3, None, 30)]
+    assert [r.id for r in C.unmatched_keys(target, batch, "id").collect()] == [9]
+
+
+def test_one_statement_refuses_a_repeated_key(spark, target):
+    batch = spark.createDataFrame([(1, "p"), (1, "q")], "id int, a string")
+    for statement in (lambda: C.upsert(target, batch, "id"), lambda: C.update_patch(target, batch, "id", ["a"])):
+        with pytest.raises(Exception, match="key given twice"):
+            statement().collect()
+
+
+def test_upsert_twice_is_upsert_once(spark, target):
+    batch = spark.createDataFrame([(1, None), (4, "n")], "id int, a string")
+    once = C.upsert(target, batch, "id", {"b": F.lit(5)})
+    assert rows(once) == [(1, None, 10), (2, "y", 20), (3, None, 30), (4, "n", 5)]
+    assert seed_diff(once, C.upsert(once, batch, "id", {"b": F.lit(5)})).isEmpty()
+
+
+def test_small_batch_leaves_the_target_unshuffled(spark, tmp_path):
+    spark.range(100_000).select("id", F.lit("x").alias("a")).write.parquet(str(tmp_path / "t"))
+    batch = spark.range(50, 60).select("id", F.lit("y").alias("a"))
+    big = spark.read.parquet(str(tmp_path / "t"))
+    plan = C.upsert(big, batch, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "FullOuter" not in plan
+
+
+def test_first_of_the_batch_wins_and_stored_rows_stay(spark, target):
+    batch = spark.createDataFrame([(4, "second", 2), (4, "first", 1), (1, "no", 0)], "id int, a string, seq int")
+    assert rows(C.insert_if_absent(target, batch, "id", "seq", {"b": F.lit(0)})) == [
+        (1, "x", 10), (2, "y", 20), (3, None, 30), (4, "first", 0)]
+
+
+def test_seed_keeps_copies_and_drops_unknown_slugs(spark):
+    stored = spark.createDataFrame([(1, "old")], "category_id int, name string")
+    categories = spark.createDataFrame([(1, "a"), (2, "b")], "id int, slug string")
+    seed = spark.createDataFrame([("old", "a"), ("new", "b"), ("new", "b"), ("lost", "zzz")], "name string, slug string")
+    loaded = C.seed_load(stored, seed, categories)
+    assert rows(loaded) == [(1, "old"), (2, "new"), (2, "new")]
+    assert seed_diff(loaded, C.seed_load(loaded, seed, categories)).isEmpty()
+    assert [r.name for r in C.seed_unresolved(seed, categories).collect()] == ["lost"]
+
+
+def test_cascades(spark):
+    items = spark.createDataFrame([(1, 5, 0), (2, None, 0), (3, 6, 0)], "id int, category_id int, updated_at int")
+    gone = spark.createDataFrame([(5,), (5,), (7,)], "id int")
+    assert rows(C.delete_set_null(items, gone, touch=("updated_at", F.lit(1)))) == [(1, None, 1), (2, None, 0), (3, 6, 0)]
+    owners = spark.createDataFrame([(5, "a"), (6, "b")], "user_id int, email string")
+    assert rows(C.delete_cascade(owners, gone)) == [(6, "b")]
+
+
+def test_checks_pass_on_null_and_name_the_rule(spark):
+    df = spark.createDataFrame([(1, -1, "new"), (2, None, None), (3, 5, "odd"), (4, 5, "new")], "id int, price int, badge string")
+    checks = {"price": F.col("price") >= 0, "badge": F.col("badge").isin("new", "hot")}
+    found = C.constraint_check(df, "id", checks, required=["price"], unique=["badge"])
+    assert rows(found) == [("badge", "3"), ("badge unique", "new"), ("price missing", "2"), ("price", "1")] or \
+        set(rows(found)) == {("badge", "3"), ("badge unique", "new"), ("price missing", "2"), ("price", "1")}
+    clean, bad = C.quarantine(df, "id", C.row_violations(df, "id", checks))
+    assert (sorted(r.id for r in clean.collect()), sorted(r.id for r in bad.collect())) == ([2, 4], [1, 3])
+    with pytest.raises(Exception, match="constraint violated"):
+        C.enforce(df, found).collect()
+    assert C.enforce(df, C.row_violations(df, "id", {"fine": F.lit(True)})).count() == 4
+
+
+def test_email_lookup_takes_the_smallest_id(spark):
+    users = spark.createDataFrame([(2, "A@x"), (1, "a@X"), (3, "b@x")], "id int, email string")
+    asked = spark.createDataFrame([("a@x",), ("c@x",)], "email string")
+    assert [r.user.id for r in C.email_lookup(asked, users).collect()] == [1]

@@ -1,0 +1,94 @@
+"""Change streams: any split and order of the log leads to the state its batch replay gives."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from shelfmark.operators.changes import delete_rows, update_patch
+from shelfmark.operators.listing import category_menu
+from shelfmark.plans.star import Star
+from shelfmark.streaming import changefeed as G
+
+FOLDER = "/root/testdata/sf0.01"
+ORDER = ["ts", "event_id"]
+
+
+def rows(df):
+    return sorted(tuple(r) for r in df.select("user_id", "event_id", "op", "payload").collect())
+
+
+@pytest.fixture(scope="module")
+def log(spark):
+    return Star(spark, FOLDER).changes()
+
+
+@pytest.fixture(scope="module")
+def shuffled(spark, log, tmp_path_factory):
+    """The log in 6 files, out of order within and across them."""
+    folder = str(tmp_path_factory.mktemp("log") / "files")
+    log.repartition(6, F.xxhash64("event_id")).write.parquet(folder)
+    return folder
+
+
+@pytest.fixture(scope="module")
+def expected(log):
+    found = rows(G.state_as_of(log, "user_id", ORDER))
+    assert len(found) == 120 and float(sum(r[3] for r in found)) == pytest.approx(5594.32)
+    return found
+
+
+@pytest.mark.parametrize("compact_every", [100, 2])
+def test_batches_in_any_order(spark, log, shuffled, expected, tmp_path, compact_every):
+    state = str(tmp_path / "state")
+    stream = G.change_source(spark, shuffled, log.schema, files_per_batch=1)
+    G.change_apply(stream, state, str(tmp_path / "cp"), "user_id", ORDER, compact_every=compact_every).awaitTermination()
+    assert rows(G.current_state(spark, state, "user_id", ORDER)) == expected
+    assert len(G.numbered(spark, f"{state}/delta", "batch")) == 6
+    assert len(G.numbered(spark, f"{state}/base", "upto")) == (3 if compact_every == 2 else 0)
+
+
+def test_replayed_batch_and_compaction_change_nothing(spark, log, expected, tmp_path):
+    state = str(tmp_path / "state")
+    early, late = log.where("event_id < 6000"), log.where("event_id >= 6000")
+    G.write_delta(late, 0, state, "user_id", ORDER)
+    G.write_delta(early, 1, state, "user_id", ORDER)
+    G.write_delta(early, 1, state, "user_id", ORDER)
+    assert rows(G.current_state(spark, state, "user_id", ORDER)) == expected
+    assert G.compact(spark, state, "user_id", ORDER) == 1
+    G.write_delta(early, 1, state, "user_id", ORDER)
+    assert G.compact(spark, state, "user_id", ORDER) == 1
+    G.write_delta(early, 2, state, "user_id", ORDER)  # comes late: deleted rows must stay deleted
+    assert rows(G.current_state(spark, state, "user_id", ORDER)) == expected
+
+
+def test_replay_up_to_a_time(log):
+    cut = log.agg(F.expr("percentile_approx(event_id, 0.5)")).first()[0]
+    until = log.where(F.col("event_id") == cut).first().ts
+    assert rows(G.state_as_of(log, "user_id", ORDER, until=F.lit(until))) == \
+        rows(G.state_as_of(log.where(F.col("event_id") <= cut), "user_id", ORDER))
+
+
+def test_refreshed_categories_equal_a_full_rebuild(spark):
+    star = Star(spark, FOLDER)
+    before, cats = star.items(), star.categories()
+    changes = before.where("id in (3, 30, 300)").select("id", F.lit(4).cast("bigint").alias("category_id"), (F.col("id") == 300).alias("gone"))
+    after = update_patch(delete_rows(before, changes.where("gone")), changes.where("not gone"), "id", ["category_id"])
+    affected = G.affected_categories(before, changes)
+    keys = [r.category_id for r in affected.collect()]
+    assert 4 in keys and 2 <= len(keys) <= 4
+    full = category_menu(after, cats)
+    assert seed(G.refresh_affected(after, cats, affected)) == seed(full.where(F.col("category_id").isin(keys)))
+    untouched = ~F.col("category_id").isin(keys)
+    assert seed(full.where(untouched)) == seed(category_menu(before, cats).where(untouched))
+
+
+def seed(pages):
+    return sorted((r.category_id, r.page, str(r["items"])) for r in pages.collect())
+
+
+def test_stream_refreshes_what_viewers_see(spark, log, shuffled, tmp_path):
+    """The hook of the stream sees each folded batch and can rebuild the affected categories."""
+    seen = []
+    stream = G.change_source(spark, shuffled, log.schema, files_per_batch=3)
+    G.change_apply(stream, str(tmp_path / "s"), str(tmp_path / "cp"), "user_id", ORDER,
+                   after=lambda batch, n: seen.append((n, batch.count()))).awaitTermination()
+    assert [n for n, _ in seen] == [0, 1] and all(count <= 150 for _, count in seen)

@@ -1,0 +1,65 @@
+"""Positions: the path for hot groups gives what the plain window gives."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from shelfmark.operators.listing import category_menu, item_order
+from shelfmark.operators.ranking import position_within
+from shelfmark.plans.star import Star
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def skewed(spark):
+    """Two thirds of all items in one group, some of them in the null group."""
+    group = F.when(F.col("id") % 3 != 0, F.lit(1)).when(F.col("id") % 9 == 0, F.lit(None)).otherwise(F.col("category_id"))
+    return Star(spark, FOLDER).items().withColumn("category_id", group)
+
+
+@pytest.mark.parametrize("hot_rows", [1, 40, 700])
+def test_hot_path_equals_window(skewed, hot_rows):
+    plain = position_within(skewed, ["category_id"], item_order())
+    split = position_within(skewed, ["category_id"], item_order(), hot_rows=hot_rows)
+    assert split.count() == skewed.count()
+    assert plain.exceptAll(split).isEmpty()
+
+
+def test_hot_path_when_all_sort_keys_are_equal(skewed):
+    order = [F.lit(0), F.lit("same"), F.col("id")]
+    split = position_within(skewed, ["category_id"], order, hot_rows=50)
+    assert position_within(skewed, ["category_id"], order).exceptAll(split).isEmpty()
+
+
+def test_no_groups_numbers_all_rows(skewed):
+    n = skewed.count()
+    found = position_within(skewed, [], item_order(), hot_rows=100).agg(F.min("pos"), F.max("pos"), F.countDistinct("pos")).first()
+    assert tuple(found) == (1, n, n)
+
+
+def test_several_group_columns(skewed):
+    groups = ["category_id", "badge"]
+    plain = position_within(skewed, groups, item_order())
+    assert plain.exceptAll(position_within(skewed, groups, item_order(), hot_rows=30)).isEmpty()
+
+
+def test_hot_group_is_spread_over_cells(skewed):
+    """The window key of the hot path is one struct, which a shuffle on the group alone cannot serve."""
+    split = position_within(skewed, ["category_id"], item_order(), hot_rows=50)
+    assert "hashpartitioning(_w0" in split._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_hold_every_item_of_a_large_category(spark, skewed):
+    categories = Star(spark, FOLDER).categories()
+    pages = category_menu(skewed, categories, page_size=50, hot_rows=100)
+    sizes = pages.select("category_id", "page", F.size("items").alias("n")).collect()
+    big = sorted((r.page, r.n) for r in sizes if r.category_id == 1)
+    expected = skewed.where("category_id = 1").count()
+    assert sum(n for _, n in big) == expected and max(n for _, n in big) == 50
+    assert [p for p, _ in big] == list(range(len(big)))
+
+
+def test_names_order_by_locale(spark):
+    rows = spark.createDataFrame([(n, 1, i) for i, n in enumerate(["B", "_x", "É", "a", "b", "A"])], "name string, g int, id int")
+    placed = position_within(rows, ["g"], [F.collate("name", "UNICODE"), F.col("id")])
+    assert [r.name for r in placed.orderBy("pos").collect()] == ["_x", "a", "A", "b", "B", "É"]
