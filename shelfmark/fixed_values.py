@@ -52,7 +52,9 @@ MEDIA_TYPES = {
 }
 DEFAULT_MEDIA_TYPE = "application/octet-stream"
 
-# White space as ECMAScript trims it (regex class, valid in Java and RE2).
+# White space as ECMAScript trims it, as characters and as a regex class (Java and RE2).
+JS_SPACE_CHARS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) \
+    + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 JS_SPACE = (
     r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 )

@@ -132,9 +132,12 @@ def with_currency(df: DataFrame, info: DataFrame, currency: str = "currency", id
 
 def menu_listing(items: DataFrame, categories: DataFrame, currency: Column | None = None, i: ItemCols = ITEMS,
                  c: CategoryCols = CATEGORIES, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The reader's listing: each shown item with its category, position, price label and badge."""
-    placed = item_position(in_active_category(items, categories, i, c), i, hot_rows=hot_rows)
-    return placed.withColumn("price_label", L.format_price(i.price, currency)) \
+    """The reader's listing: each shown item with its category, position, price label and badge.
+
+    A category is shown whole or not at all, so items are numbered before the join, on narrow rows.
+    """
+    placed = item_position(items.where(F.col(i.category).isNotNull()), i, hot_rows=hot_rows)
+    return in_active_category(placed, categories, i, c).withColumn("price_label", L.format_price(i.price, currency)) \
         .withColumn("badge_label", L.display_badge(i.available, i.badge))
 
 

@@ -22,6 +22,14 @@ def _same_group(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
     return condition
 
 
+def _surely_small(df: DataFrame, hot_rows: int) -> bool:
+    """Is the planned input below one byte per row of a hot group? Then counting can be saved."""
+    try:
+        return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue() < hot_rows
+    except AttributeError:  # a session without the classic API
+        return False
+
+
 def _hot_groups(df: DataFrame, groups: list[str], hot_rows: int) -> DataFrame | None:
     """One row per hot group with the stride that samples it; at most MAX_HOT_GROUPS rows."""
     counts = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
@@ -53,14 +61,15 @@ def position_within(df: DataFrame, groups: list[str], order: list[Column], name:
     """Add the 1-based position of each row in its group under an ascending order.
 
     `order` must end with a column that is unique in the group. Nulls come first, so callers fill them.
-    The group sizes are counted first (one small job); where no group is hot a plain window is used.
+    Unless the input is tiny, group sizes are counted first (one job over the group columns); where no
+    group is hot a plain window is used.
     """
     if not groups:
         ranked = position_within(df.withColumn("_all", F.lit(0)), ["_all"], order, name, hot_rows)
         return ranked.drop("_all")
     parts = [c.alias(f"k{i}") for i, c in enumerate(order[:-1])] + [order[-1].alias("last")]
     keyed = df.withColumn("_key", F.struct(*parts))
-    hot = _hot_groups(df, groups, hot_rows)
+    hot = None if _surely_small(df, hot_rows) else _hot_groups(df, groups, hot_rows)
     if hot is None:
         window = Window.partitionBy(*groups).orderBy("_key")
         return keyed.withColumn(name, F.row_number().over(window).cast("bigint")).drop("_key")

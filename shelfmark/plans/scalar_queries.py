@@ -6,6 +6,7 @@ from shelfmark import fixed_values as V
 from shelfmark.functions import labels as L
 from shelfmark.functions import objects as O
 from shelfmark.functions import text as X
+from shelfmark.operators.scans import secret_scan
 from shelfmark.plans.registry import query
 
 SPACE = V.JS_SPACE
@@ -227,11 +228,10 @@ c as (select id, text, regexp_replace(regexp_replace(text, '/\*[\s\S]*?\*/', '',
 select id, 'token_assigned' rule from c where regexp_matches(code, '(?i)token\s*[:=]')
 union all select id, 'service_key_word' from c where regexp_matches(code, '(?i)service_role|SUPABASE_SERVICE')
 union all select id, 'signed_token_header' from c where regexp_matches(text, 'eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9')""", views=False)
-def secret_scan(s):
+def _(s):
     docs = s.table("documents").select(F.col("doc_id").alias("id"), "text")
     pages = s.table("pages").select((F.col("page_id") + 1000000000).alias("id"), F.col("html").alias("text"))
-    hits = X.secret_hits("text", [*V.SECRET_RULES, TOKEN_RULE])
-    return docs.unionByName(pages).select("id", F.explode(hits).alias("rule"))
+    return secret_scan(docs.unionByName(pages), "text", "id", [*V.SECRET_RULES, TOKEN_RULE])
 
 
 @query("near_match", r"""

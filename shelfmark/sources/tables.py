@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 from shelfmark.functions.objects import media_type
 
 
-def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def read_table(spark: SparkSession, folder: str, name: str, schema=None) -> DataFrame:
+    """A Parquet table. With a declared schema no file is opened before the query runs."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(f"{folder}/{name}.parquet")
 
 
 def scan_ordered(df: DataFrame, column: str, tie_break: str) -> DataFrame:
