@@ -130,17 +130,23 @@ def with_currency(df: DataFrame, info: DataFrame, currency: str = "currency", id
     return df.withColumn("currency", currency_of(info, currency, id_col))
 
 
-def menu_listing(items: DataFrame, categories: DataFrame, currency: Column | None = None, i: ItemCols = ITEMS,
-                 c: CategoryCols = CATEGORIES, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The reader's listing: each shown item with its category, position, price label and badge.
+def shown_items(items: DataFrame, currency: Column | None = None, i: ItemCols = ITEMS,
+                hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Categorised items with their position, price label and badge.
 
-    A category is shown whole or not at all, so items are numbered before the join, on narrow rows.
+    A category is shown whole or not at all, so positions need no join with the categories.
     """
     placed = item_position(items.where(F.col(i.category).isNotNull()), i, hot_rows=hot_rows)
-    return in_active_category(placed, categories, i, c).withColumn("price_label", L.format_price(i.price, currency)) \
+    return placed.withColumn("price_label", L.format_price(i.price, currency)) \
         .withColumn("badge_label", L.display_badge(i.available, i.badge))
 
 
+def menu_listing(items: DataFrame, categories: DataFrame, currency: Column | None = None, i: ItemCols = ITEMS,
+                 c: CategoryCols = CATEGORIES, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The reader's listing: each shown item with its category, position, price label and badge."""
+    return in_active_category(shown_items(items, currency, i, hot_rows), categories, i, c)
+
+
 def admin_listing(items: DataFrame, categories: DataFrame, currency: Column | None = None, i: ItemCols = ITEMS,
                   c: CategoryCols = CATEGORIES) -> DataFrame:
     """The owner's listing: every item, with 'No category' sorted last where none matches."""
@@ -208,21 +214,23 @@ def next_sort_order(df: DataFrame) -> DataFrame:
     return df.agg((F.count(F.lit(1)) + 1).alias("next_sort_order"))
 
 
-def menu_pages(listing: DataFrame, fields: list[str], i: ItemCols = ITEMS, page_size: int = PAGE_SIZE) -> DataFrame:
-    """Nest a positioned listing into ordered item lists, one row per category and page of items.
+def menu_pages(placed: DataFrame, fields: list[str], i: ItemCols = ITEMS, page_size: int = PAGE_SIZE) -> DataFrame:
+    """Nest positioned items into ordered lists, one row per category and page of items.
 
     A category of any size becomes as many pages as it needs; no row grows with the data.
     """
     page = F.floor((F.col("pos") - 1) / page_size).cast("bigint")
     entry = F.struct("pos", *fields)
-    return listing.withColumn("page", page).groupBy(i.category, "slug", "category_name", "page") \
+    return placed.withColumn("page", page).groupBy(i.category, "page") \
         .agg(F.sort_array(F.collect_list(entry)).alias("items"))
 
 
 def category_menu(items: DataFrame, categories: DataFrame, currency: Column | None = None, i: ItemCols = ITEMS,
                   c: CategoryCols = CATEGORIES, page_size: int = PAGE_SIZE, hot_rows: int = HOT_ROWS) -> DataFrame:
-    listing = menu_listing(items, categories, currency, i, c, hot_rows)
-    return menu_pages(listing, [i.id, i.name, "price_label", "badge_label"], i, page_size)
+    """The nested menu of the active categories. Whole pages meet the categories, not single items."""
+    placed = shown_items(items, currency, i, hot_rows)
+    pages = menu_pages(placed, [i.id, i.name, "price_label", "badge_label"], i, page_size)
+    return in_active_category(pages, categories, i, c)
 
 
 # -- set operations --------------------------------------------------------------------------------

@@ -25,7 +25,7 @@ def _same_group(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
 def _surely_small(df: DataFrame, hot_rows: int) -> bool:
     """Is the planned input below one byte per row of a hot group? Then counting can be saved."""
     try:
-        return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue() < hot_rows
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < hot_rows
     except AttributeError:  # a session without the classic API
         return False
 
@@ -67,13 +67,13 @@ def position_within(df: DataFrame, groups: list[str], order: list[Column], name:
     if not groups:
         ranked = position_within(df.withColumn("_all", F.lit(0)), ["_all"], order, name, hot_rows)
         return ranked.drop("_all")
-    parts = [c.alias(f"k{i}") for i, c in enumerate(order[:-1])] + [order[-1].alias("last")]
-    keyed = df.withColumn("_key", F.struct(*parts))
     hot = None if _surely_small(df, hot_rows) else _hot_groups(df, groups, hot_rows)
     if hot is None:
-        window = Window.partitionBy(*groups).orderBy("_key")
-        return keyed.withColumn(name, F.row_number().over(window).cast("bigint")).drop("_key")
+        window = Window.partitionBy(*groups).orderBy(*order)
+        return df.withColumn(name, F.row_number().over(window).cast("bigint"))
 
+    parts = [c.alias(f"k{i}") for i, c in enumerate(order[:-1])] + [order[-1].alias("last")]
+    keyed = df.withColumn("_key", F.struct(*parts))
     borders = _range_borders(keyed.select(*groups, "_key"), groups, hot)
 
     def ranged(frame):
@@ -82,9 +82,8 @@ def position_within(df: DataFrame, groups: list[str], order: list[Column], name:
             F.array(*[F.lit(s) for s in SEARCH_STEPS]), F.lit(0),
             lambda at, step: F.when(F.get("_borders", at + step - 1) <= F.col("_key"), at + step).otherwise(at))
         bucket = F.when(F.col("_borders").isNull(), F.lit(0)).otherwise(borders_passed)
-        is_hot = F.col("_borders").isNotNull()
-        return joined.withColumn("_bucket", bucket).withColumn("_hot", is_hot) \
-            .drop("_borders", *[f"_h_{g}" for g in groups])
+        return joined.withColumn("_bucket", bucket).withColumn("_hot", F.col("_borders").isNotNull()) \
+            .drop("_borders", "_key", *[f"_h_{g}" for g in groups])
 
     sizes = ranged(keyed.select(*groups, "_key")).where("_hot") \
         .groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
@@ -93,7 +92,7 @@ def position_within(df: DataFrame, groups: list[str], order: list[Column], name:
                            F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
 
     # one struct as the window key: a shuffle on the group alone must not be taken as good enough
-    cell = Window.partitionBy(F.struct(*groups, "_bucket")).orderBy("_key")
+    cell = Window.partitionBy(F.struct(*groups, "_bucket")).orderBy(*order)
     numbered = ranged(keyed).withColumn("_row", F.row_number().over(cell))
     placed = numbered.join(F.broadcast(offsets),
                            _same_group(numbered, offsets, groups) & (numbered["_bucket"] == offsets["_b"]), "left")
