@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import count_label
-from shelfmark.operators.listing import _union
+from shelfmark.operators.listing import union_all
 
 
 def check_not_empty(name: str, df: DataFrame, singular: str, plural: str) -> DataFrame:
@@ -30,7 +30,7 @@ def check_none_visible(name: str, visible: DataFrame) -> DataFrame:
 
 
 def audit_tables(checks: list[DataFrame]) -> DataFrame:
-    return _union(checks)
+    return union_all(checks)
 
 
 def check_rollup(checks: DataFrame, status: str = "status") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import filled
-from shelfmark.operators.listing import _union
+from shelfmark.operators.listing import union_all
 
 ALL_COLUMNS = None
 
@@ -224,7 +224,7 @@ def constraint_check(df: DataFrame, key: str, checks: dict[str, Column] | None =
     for column, (parent, parent_key) in (references or {}).items():
         found.append(missing_references(df, column, parent, parent_key).select(
             F.lit(f"{column} reference").alias("rule"), F.col(key).cast("string").alias("key")))
-    return _union(found)
+    return union_all(found)
 
 
 def enforce(df: DataFrame, violations: DataFrame) -> DataFrame:

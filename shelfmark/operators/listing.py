@@ -202,7 +202,7 @@ def totals(tables: dict[str, DataFrame]) -> DataFrame:
     """Row count of each table as (table, n)."""
     counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table"), "n")
               for name, df in tables.items()]
-    return _union(counts)
+    return union_all(counts)
 
 
 def conditional_counts(df: DataFrame, conditions: dict[str, Column]) -> DataFrame:
@@ -245,7 +245,7 @@ def nav_tabs(categories: DataFrame, c: CategoryCols = CATEGORIES) -> DataFrame:
     return first.unionByName(rest)
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
+def union_all(frames: list[DataFrame]) -> DataFrame:
     result = frames[0]
     for frame in frames[1:]:
         result = result.unionByName(frame)

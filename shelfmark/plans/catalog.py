@@ -1,7 +1,8 @@
 """A stored catalog: reads as its readers see it, and writes as its owners make them.
 
-Every write reads the newest version of a table, plans the next one and writes it whole. A statement
-that breaks a rule fails while it is written, so its version never becomes visible.
+Every write reads the newest version of a table, plans the next one and writes it whole: many edits
+belong in one batch, and a steady trickle of them in ``streaming.changefeed``. A statement that breaks a
+rule fails while it is written, so its version never becomes visible.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,7 @@ KEYS = {"categories": "id", "menu_items": "id", "cafe_info": "id", "admin_users"
 CLUSTERED = {"categories": ["sort_order", "name"], "menu_items": ["category_id", "sort_order"]}
 DEFAULTS = {"categories": V.CATEGORY_DEFAULTS, "menu_items": V.ITEM_DEFAULTS,
             "cafe_info": {"id": 1, "currency": V.DEFAULT_CURRENCY, "header_emoji": V.DEFAULT_EMOJI}}
+UNIQUE = {"categories": ["id", "slug"], "menu_items": ["id"], "cafe_info": ["id"], "admin_users": ["user_id"]}
 REQUIRED = {"categories": ["slug", "name", "sort_order", "is_active"],
             "menu_items": ["name", "price", "is_available", "sort_order"], "cafe_info": ["name", "currency"]}
 
@@ -140,15 +142,20 @@ class Catalog:
         rows = rows if "id" in rows.columns else rows.withColumn("id", row_id(*rows.columns))
         target = self.table(name)
         fresh = C.new_rows(target, rows, self._defaults(name, as_of))
-        return self._checked(name, target.unionByName(fresh), fresh)
+        return self._checked(name, target.unionByName(fresh), fresh, TABLES[name].names)
 
     def update(self, name: str, patches: DataFrame, user_id: str | None, as_of: Column) -> int | None:
         """Patch rows by id; the columns of `patches` are set. Someone else than an owner changes no rows."""
         if not self._may(name, "update", user_id):
             return None
-        columns = [c for c in patches.columns if c != KEYS[name]]
-        state = C.update_patch(self.table(name), patches, KEYS[name], columns, touch=("updated_at", as_of))
-        return self._checked(name, state, state.join(patches.select(KEYS[name]).distinct(), KEYS[name], "left_semi"))
+        key, target = KEYS[name], self.table(name)
+        columns = [c for c in patches.columns if c != key]
+
+        def patched(rows):
+            return C.update_patch(rows, patches, key, columns, touch=("updated_at", as_of))
+
+        hit = target.join(patches.select(key).distinct(), key, "left_semi").select(*target.columns)
+        return self._checked(name, patched(target), patched(hit), columns)
 
     def set_availability(self, flags: DataFrame, user_id: str | None, as_of: Column) -> int | None:
         coerced = flags.select("id", F.coalesce("is_available", F.lit(False)).alias("is_available"))
@@ -160,7 +167,7 @@ class Catalog:
         one = patch.withColumn("id", F.lit(1))
         state = C.upsert(self.table("cafe_info"), one, "id", self._defaults("cafe_info", as_of),
                          touch=("updated_at", as_of))
-        return self._checked("cafe_info", state, state)
+        return self._checked("cafe_info", state, state, one.columns)
 
     def delete(self, name: str, keys: DataFrame, user_id: str | None, as_of: Column) -> int | None:
         """Delete by id; items of a deleted category stay, without one."""
@@ -189,16 +196,17 @@ class Catalog:
         fixed = {column: F.lit(value) for column, value in DEFAULTS.get(name, {}).items()}
         return {**fixed, "created_at": as_of, "updated_at": as_of}
 
-    def _checked(self, name: str, state: DataFrame, changed: DataFrame) -> int:
-        """Write a state whose changed rows keep every rule; only they, and rows that share their unique
-        values, are looked at."""
-        unique = [KEYS[name]] + (["slug"] if name == "categories" else [])
-        references = {"category_id": (self.table("categories"), "id")} if name == "menu_items" else {}
+    def _checked(self, name: str, state: DataFrame, changed: DataFrame, columns: list[str]) -> int:
+        """Write a state whose changed rows keep every rule. Looked at are those rows and, for a unique
+        column that was set, the rows that share its values."""
+        references = {"category_id": (self.table("categories"), "id")} \
+            if name == "menu_items" and "category_id" in columns else {}
         found = [C.constraint_check(changed, KEYS[name], row_checks(name), REQUIRED[name], references=references)]
-        for column in unique:
-            rivals = state.join(changed.select(column).distinct(), column, "left_semi")
-            found.append(C.constraint_check(rivals, KEYS[name], unique=[column]))
-        return self._write(name, C.enforce(state, C._union(found)))
+        for column in UNIQUE[name]:
+            if column in columns:
+                rivals = state.join(changed.select(column).distinct(), column, "left_semi")
+                found.append(C.constraint_check(rivals, KEYS[name], unique=[column]))
+        return self._write(name, C.enforce(state, R.union_all(found)))
 
     def _write(self, name: str, state: DataFrame) -> int:
         return versions.write_version(state, f"{self.folder}/{name}", CLUSTERED.get(name, []))

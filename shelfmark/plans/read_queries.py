@@ -3,11 +3,11 @@
 from pyspark.sql import functions as F
 
 from shelfmark.functions import labels as L
+from shelfmark.functions.text import count_label
 from shelfmark.operators import listing as R
 from shelfmark.operators.access import is_admin_rows
-from shelfmark.operators.changes import (
-    email_lookup, seed_new_only, seed_resolve, update_patch,
-)
+from shelfmark.operators.changes import email_lookup, seed_new_only, seed_resolve, update_patch
+from shelfmark.operators.ranking import position_within
 from shelfmark.plans.registry import query
 from shelfmark.plans.star import TABLES, moment
 from shelfmark.sources import tables as S
@@ -233,7 +233,6 @@ def _(s):
 select c.id, c.name, count(i.id) n_items, count(i.id) || case count(i.id) when 1 then ' item' else ' items' end label
 from cat c left join it i on i.category_id = c.id group by c.id, c.name""")
 def _(s):
-    from shelfmark.functions.text import count_label
     counts = R.items_per_category(s.categories(), s.items())
     return counts.select("id", "name", "n_items", count_label("n_items", "item", "items").alias("label"))
 
@@ -289,7 +288,6 @@ def _(s):
 select i.id, i.name, row_number() over (order by coalesce(c.sort_order, 999), i.sort_order, i.name, i.id) pos
 from it i left join cat c on i.category_id = c.id""")
 def _(s):
-    from shelfmark.operators.ranking import position_within
     rows = R.admin_listing(s.items(), s.categories())
     return position_within(rows, [], R.admin_order()).select("id", "name", "pos")
 

@@ -6,9 +6,12 @@ from shelfmark.fixed_values import ITEM_DEFAULTS
 from shelfmark.operators import access as A
 from shelfmark.operators import audit as U
 from shelfmark.operators import changes as C
+from shelfmark.operators.listing import union_all
 from shelfmark.plans.read_queries import ORDER_NAMES_SQL, order_names
 from shelfmark.plans.registry import query
 from shelfmark.plans.star import NOW, moment
+from shelfmark.sources import versions
+from shelfmark.sources.workspace import fresh_folder
 
 
 
@@ -222,7 +225,7 @@ def _(s):
     tables = {"categories": (s.categories(), "id"), "menu_items": (s.items(), "id"), "admin_users": (s.owners(), "user_id")}
     parts = [A.visible_rows(tbl, df, s.owners(), user).select(F.lit(viewer).alias("viewer"), F.lit(tbl).alias("tbl"), F.col(key).alias("id"))
              for viewer, user in viewers.items() for tbl, (df, key) in tables.items()]
-    return C._union(parts)
+    return union_all(parts)
 
 
 OUTCOME_SQL = """case when user_id in (select user_id from owner) and tbl <> 'admin_users' and not (tbl = 'cafe_info' and op = 'delete')
@@ -301,11 +304,12 @@ def _(s):
 select n.name, count(*) n_added from {ORDER_NAMES_SQL} n join cat using (slug)
 where n.name not in (select name from it) group by n.name""")
 def _(s):
-    """What a first load changes; loading the same seed again on top of it changes nothing more."""
+    """What a first load changes; loading the same seed again on the stored result changes nothing more."""
     seed = order_names(s).withColumn("id", F.lit(0).cast("bigint")).select("id", "name", "slug")
-    before = s.items().select("id", "category_id", "name").withColumn("id", F.lit(0).cast("bigint"))
-    once = C.seed_load(before, seed, s.categories())
+    before = s.items().select(F.lit(0).cast("bigint").alias("id"), "category_id", "name")
+    folder = fresh_folder(s.spark, "seeded")
+    versions.write_version(C.seed_load(before, seed, s.categories()), folder)
+    once = versions.read_version(s.spark, folder)
     twice = C.seed_load(once, seed, s.categories())
     first = U.seed_diff(before.select("name"), once.select("name"))
-    second = U.seed_diff(once.select("name"), twice.select("name"))
-    return first.unionByName(second)
+    return first.unionByName(U.seed_diff(once.select("name"), twice.select("name")))
