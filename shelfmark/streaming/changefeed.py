@@ -57,34 +57,37 @@ def change_apply(changes: DataFrame, folder: str, checkpoint: str, key: str, ord
     """Start applying a change stream to the state in `folder`; `after` sees each folded batch."""
     def apply(batch: DataFrame, batch_id: int) -> None:
         write_delta(batch, batch_id, folder, key, order)
-        if batch_id % compact_every == compact_every - 1:
-            compact(batch.sparkSession, folder, key, order)
         if after is not None:
             after(batch.sparkSession.read.parquet(f"{folder}/delta/batch={batch_id}"), batch_id)
+        if batch_id % compact_every == compact_every - 1:
+            compact(batch.sparkSession, folder, key, order)
 
     writer = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def _parts(spark: SparkSession, folder: str) -> tuple[list[str], int]:
-    """Folders that make up the state, and the last batch in them."""
-    bases = numbered(spark, f"{folder}/base", "upto")
-    deltas = numbered(spark, f"{folder}/delta", "batch")
+def _parts(spark: SparkSession, folder: str, upto: int | None = None) -> tuple[list[str], int]:
+    """Folders that make up the state (after one batch, if given), and the last batch in them."""
+    def known(kind, prefix):
+        return [n for n in numbered(spark, f"{folder}/{kind}", prefix) if upto is None or n <= upto]
+
+    bases, deltas = known("base", "upto"), known("delta", "batch")
     base = bases[-1] if bases else -1
     newer = [b for b in deltas if b > base]
     paths = [f"{folder}/base/upto={base}"] if bases else []
     return paths + [f"{folder}/delta/batch={b}" for b in newer], max([base, *newer])
 
 
-def latest_changes(spark: SparkSession, folder: str, key: str, order: list[str]) -> DataFrame:
-    paths, _ = _parts(spark, folder)
+def latest_changes(spark: SparkSession, folder: str, key: str, order: list[str], upto: int | None = None) -> DataFrame:
+    paths, _ = _parts(spark, folder, upto)
     if not paths:
         raise FileNotFoundError(f"no state in {folder}")
     return latest_per_key(spark.read.parquet(*paths), key, order)
 
 
-def current_state(spark: SparkSession, folder: str, key: str, order: list[str], op: str = "op") -> DataFrame:
-    return without_deleted(latest_changes(spark, folder, key, order), op)
+def current_state(spark: SparkSession, folder: str, key: str, order: list[str], op: str = "op",
+                  upto: int | None = None) -> DataFrame:
+    return without_deleted(latest_changes(spark, folder, key, order, upto), op)
 
 
 def compact(spark: SparkSession, folder: str, key: str, order: list[str]) -> int:
@@ -108,3 +111,31 @@ def refresh_affected(after: DataFrame, categories: DataFrame, affected: DataFram
     """Menu pages of the affected categories only; the others did not change."""
     items = after.join(affected, i.category, "left_semi").select(*after.columns)
     return category_menu(items, categories, currency, i, c, **options)
+
+
+def menu_refresher(state: str, menu: str, categories: Callable[[SparkSession], DataFrame], order: list[str],
+                   i: ItemCols = ITEMS, c: CategoryCols = CATEGORIES, **options) -> Callable[[DataFrame, int], None]:
+    """Hook for ``change_apply``: after each batch writes the pages of the categories it affected.
+
+    The list of those categories is written last; until it is there, readers keep the older pages.
+    """
+    def refresh(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        now = current_state(spark, state, i.id, order, upto=batch_id)
+        keys = batch.select(i.id)
+        seen = batch.select(i.category).unionByName(now.join(keys, i.id, "left_semi").select(i.category))
+        if _parts(spark, state, batch_id - 1)[0]:
+            before = current_state(spark, state, i.id, order, upto=batch_id - 1)
+            seen = seen.unionByName(before.join(keys, i.id, "left_semi").select(i.category))
+        affected = seen.where(F.col(i.category).isNotNull()).distinct()
+        pages = refresh_affected(now, categories(spark), affected, None, i, c, **options)
+        pages.write.mode("overwrite").parquet(f"{menu}/pages/batch={batch_id}")
+        affected.write.mode("overwrite").parquet(f"{menu}/affected/batch={batch_id}")
+
+    return refresh
+
+
+def current_menu(spark: SparkSession, menu: str, i: ItemCols = ITEMS) -> DataFrame:
+    """Of each category the pages of the last batch that affected it; none, if it was left empty."""
+    newest = spark.read.parquet(f"{menu}/affected").groupBy(i.category).agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{menu}/pages").join(newest, [i.category, "batch"]).drop("batch")

@@ -1,5 +1,7 @@
 """Change streams: any split and order of the log leads to the state its batch replay gives."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,10 +87,34 @@ def seed(pages):
     return sorted((r.category_id, r.page, str(r["items"])) for r in pages.collect())
 
 
-def test_stream_refreshes_what_viewers_see(spark, log, shuffled, tmp_path):
-    """The hook of the stream sees each folded batch and can rebuild the affected categories."""
-    seen = []
-    stream = G.change_source(spark, shuffled, log.schema, files_per_batch=3)
-    G.change_apply(stream, str(tmp_path / "s"), str(tmp_path / "cp"), "user_id", ORDER,
-                   after=lambda batch, n: seen.append((n, batch.count()))).awaitTermination()
-    assert [n for n, _ in seen] == [0, 1] and all(count <= 150 for _, count in seen)
+@pytest.fixture(scope="module")
+def item_log(spark, tmp_path_factory):
+    """Items enter, move between categories and leave, in three batches of which the second comes late."""
+    items = Star(spark, FOLDER).items()
+    moved = F.when(F.col("id") % 7 == 0, F.lit(4)).otherwise(F.col("category_id")).cast("bigint")
+    enter = items.withColumn("op", F.lit("insert")).withColumn("seq", F.lit(1))
+    move = items.where("id % 7 = 0 or id % 11 = 0").withColumn("category_id", moved) \
+        .withColumn("op", F.lit("update")).withColumn("seq", F.lit(2))
+    leave = items.where("id % 11 = 0 or category_id = 9").withColumn("op", F.lit("delete")).withColumn("seq", F.lit(3))
+    folder = tmp_path_factory.mktemp("items") / "log"
+    for n, part in enumerate([enter, leave, move]):
+        part.coalesce(1).write.mode("append").parquet(str(folder))
+        newest = max(folder.glob("*.parquet"), key=lambda p: p.stat().st_mtime_ns)
+        os.utime(newest, (1_700_000_000 + n, 1_700_000_000 + n))
+    return str(folder), enter.unionByName(move).unionByName(leave)
+
+
+@pytest.mark.parametrize("compact_every", [100, 1])
+def test_stream_refreshes_what_viewers_see(spark, item_log, tmp_path, compact_every):
+    folder, log = item_log
+    state, menu = str(tmp_path / "state"), str(tmp_path / "menu")
+    cats = lambda session: Star(session, FOLDER).categories()
+    hook = G.menu_refresher(state, menu, cats, ["seq"])
+    stream = G.change_source(spark, folder, log.schema, files_per_batch=1)
+    G.change_apply(stream, state, str(tmp_path / "cp"), "id", ["seq"], after=hook, compact_every=compact_every).awaitTermination()
+    final = G.state_as_of(log, "id", ["seq"])
+    rebuilt = seed(category_menu(final, cats(spark)))
+    assert seed(G.current_menu(spark, menu)) == rebuilt
+    assert 9 not in {k for k, _, _ in rebuilt} and len(rebuilt) > 10
+    sizes = {r.batch: r.n for r in spark.read.parquet(f"{menu}/affected").groupBy("batch").agg(F.count("*").alias("n")).collect()}
+    assert len(sizes) == 3
