@@ -22,8 +22,8 @@ def _same_group(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
     return condition
 
 
-def _surely_small(df: DataFrame, hot_rows: int) -> bool:
-    """Is the planned input below one byte per row of a hot group? Then counting can be saved."""
+def _looks_small(df: DataFrame, hot_rows: int) -> bool:
+    """Is the planned input below one byte per row of a hot group? Then counting is not worth a job."""
     try:
         return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < hot_rows
     except AttributeError:  # a session without the classic API
@@ -67,7 +67,7 @@ def position_within(df: DataFrame, groups: list[str], order: list[Column], name:
     if not groups:
         ranked = position_within(df.withColumn("_all", F.lit(0)), ["_all"], order, name, hot_rows)
         return ranked.drop("_all")
-    hot = None if _surely_small(df, hot_rows) else _hot_groups(df, groups, hot_rows)
+    hot = None if _looks_small(df, hot_rows) else _hot_groups(df, groups, hot_rows)
     if hot is None:
         window = Window.partitionBy(*groups).orderBy(*order)
         return df.withColumn(name, F.row_number().over(window).cast("bigint"))

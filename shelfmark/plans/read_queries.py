@@ -246,8 +246,8 @@ def _(s):
 
 
 @query("conditional_counts", """
-select count_if(category_id is not null) assigned, count_if(badge = 'new') badge_new,
-       count_if(not is_available) sold_out from it""")
+select count(*) filter (where category_id is not null) assigned, count(*) filter (where badge = 'new') badge_new,
+       count(*) filter (where not is_available) sold_out from it""")
 def _(s):
     return R.conditional_counts(s.items(), {
         "assigned": F.col("category_id").isNotNull(), "badge_new": F.col("badge") == "new",

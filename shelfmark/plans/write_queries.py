@@ -244,7 +244,7 @@ m as (select role, tbl, op, case when role = 'owner' and tbl <> 'admin_users' an
       from (values ('anon'), ('member'), ('owner')) r(role),
            (values ('menu_items'), ('categories'), ('cafe_info'), ('admin_users'), ('objects')) t(tbl),
            (values ('insert'), ('update'), ('delete')) o(op))
-select m.role, m.tbl, m.op, expected, count(d.event_id) n_requests, coalesce(count_if(outcome <> expected), 0) n_unexpected
+select m.role, m.tbl, m.op, expected, count(d.event_id) n_requests, count(*) filter (where outcome <> expected) n_unexpected
 from m left join d using (role, tbl, op) group by all""")
 def _(s):
     decided = A.is_admin_rows(A.authorize_changes(s.requests(), s.owners()), s.owners(), flag="is_owner")
@@ -283,14 +283,14 @@ def _(s):
     return table_checks(s)
 
 
-@query("check_rollup", f""", {AUDIT_SQL} select count(*) n_checks, count_if(status = 'fail') n_fail, count_if(status = 'warn') n_warn,
-       count_if(status = 'fail') = 0 passed from a""")
+@query("check_rollup", f""", {AUDIT_SQL} select count(*) n_checks, count(*) filter (where status = 'fail') n_fail, count(*) filter (where status = 'warn') n_warn,
+       count(*) filter (where status = 'fail') = 0 passed from a""")
 def _(s):
     return U.check_rollup(table_checks(s))
 
 
 @query("expectations", """
-, m as (select count(*) n, count_if(badge = 'new') b, count(distinct name) d, min(price) p from it)
+, m as (select count(*) n, count(*) filter (where badge = 'new') b, count(distinct name) d, min(price) p from it)
 select r.rule, r.actual, r.expected, coalesce(r.actual = r.expected, false) ok from m, lateral (
   select 'rows' rule, cast(n as varchar) actual, '1500' expected union all select 'new badges', cast(b as varchar), '5' union all
   select 'names unique', cast(n = d as varchar), 'true' union all select 'price floor', cast(p >= 0 as varchar), 'true') r""")

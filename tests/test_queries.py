@@ -13,6 +13,9 @@ def con():
     return duck(FOLDER)
 
 
+DUCK_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, name):
     frame = QUERIES[name](spark, FOLDER)
@@ -21,6 +24,8 @@ def test_query_equals_sql(spark, con, name):
     rows = spark_rows(frame)
     if name in ORACLES:
         assert rows == duck_rows(con, ORACLES[name])
+        types = {d[0]: str(d[1]) for d in con.execute(ORACLES[name]).description}
+        assert {c: DUCK_TYPES[t] for c, t in frame.dtypes} == types
 
 
 def test_entry_has_rows(spark):
