@@ -62,7 +62,8 @@ def position_within(df: DataFrame, groups: list[str], order: list[Column], name:
 
     `order` must end with a column that is unique in the group. Nulls come first, so callers fill them.
     Unless the input is tiny, group sizes are counted first (one job over the group columns); where no
-    group is hot a plain window is used.
+    group is hot a plain window is used. The input is read up to four times (sizes, borders, offsets, rows),
+    the first three times only its key columns; an input that is costly to compute is better written first.
     """
     if not groups:
         ranked = position_within(df.withColumn("_all", F.lit(0)), ["_all"], order, name, hot_rows)

@@ -117,20 +117,27 @@ def menu_refresher(state: str, menu: str, categories: Callable[[SparkSession], D
                    i: ItemCols = ITEMS, c: CategoryCols = CATEGORIES, **options) -> Callable[[DataFrame, int], None]:
     """Hook for ``change_apply``: after each batch writes the pages of the categories it affected.
 
-    The list of those categories is written last; until it is there, readers keep the older pages.
+    The items of those categories are written once and numbered from there, so the state is folded once
+    per batch. The list of categories comes last; until it is there, readers keep the older pages.
     """
     def refresh(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+
+        def written(frame: DataFrame, name: str) -> DataFrame:
+            path = f"{menu}/{name}/batch={batch_id}"
+            frame.write.mode("overwrite").parquet(path)
+            return spark.read.parquet(path)
+
         now = current_state(spark, state, i.id, order, upto=batch_id)
         keys = batch.select(i.id)
         seen = batch.select(i.category).unionByName(now.join(keys, i.id, "left_semi").select(i.category))
         if _parts(spark, state, batch_id - 1)[0]:
             before = current_state(spark, state, i.id, order, upto=batch_id - 1)
             seen = seen.unionByName(before.join(keys, i.id, "left_semi").select(i.category))
-        affected = seen.where(F.col(i.category).isNotNull()).distinct()
-        pages = refresh_affected(now, categories(spark), affected, None, i, c, **options)
-        pages.write.mode("overwrite").parquet(f"{menu}/pages/batch={batch_id}")
-        affected.write.mode("overwrite").parquet(f"{menu}/affected/batch={batch_id}")
+        affected = written(seen.where(F.col(i.category).isNotNull()).distinct(), "work/affected")
+        items = written(now.join(affected, i.category, "left_semi").select(*now.columns), "work/items")
+        written(category_menu(items, categories(spark), None, i, c, **options), "pages")
+        written(affected, "affected")
 
     return refresh
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.operators.listing import category_menu, item_order
+from shelfmark.operators.listing import category_menu, item_order, menu_listing
 from shelfmark.operators.ranking import position_within
 from shelfmark.plans.star import Star
 
@@ -63,3 +63,17 @@ def test_names_order_by_locale(spark):
     rows = spark.createDataFrame([(n, 1, i) for i, n in enumerate(["B", "_x", "É", "a", "b", "A"])], "name string, g int, id int")
     placed = position_within(rows, ["g"], [F.collate("name", "UNICODE"), F.col("id")])
     assert [r.name for r in placed.orderBy("pos").collect()] == ["_x", "a", "A", "b", "B", "É"]
+
+
+def test_listing_without_any_broadcast_of_tables(spark, skewed):
+    """Large category tables shuffle; the hot category is still numbered and joined exactly."""
+    categories = Star(spark, FOLDER).categories()
+    plain = menu_listing(skewed, categories)
+    expected = sorted((r.id, r.pos) for r in plain.collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        split = menu_listing(skewed, categories, hot_rows=60)
+        assert "SortMergeJoin" in split._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.id, r.pos) for r in split.collect()) == expected
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
