@@ -14,8 +14,11 @@ def is_owner(owners: DataFrame, user_id, user: str = "user_id") -> Column:
 
 def is_admin_rows(df: DataFrame, owners: DataFrame, principal: str = "user_id", user: str = "user_id",
                   flag: str | None = None) -> DataFrame:
-    """Rows whose principal is an owner, or with `flag` all rows and the answer as a column."""
-    keys = owners.select(F.col(user).alias("_owner")).distinct()
+    """Rows whose principal is an owner, or with `flag` all rows and the answer as a column.
+
+    The owner list holds each user once.
+    """
+    keys = owners.select(F.col(user).alias("_owner"))
     if flag is None:
         return df.join(keys, df[principal] == F.col("_owner"), "left_semi")
     joined = df.join(keys, df[principal] == F.col("_owner"), "left")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import filled
+from shelfmark.operators.keys import own_shuffle
 from shelfmark.operators.listing import union_all
 
 ALL_COLUMNS = None
@@ -159,7 +160,8 @@ def seed_unresolved(seed: DataFrame, categories: DataFrame, slug: str = "slug")
 
 
 def seed_new_only(seed: DataFrame, target: DataFrame, name: str = "name") -> DataFrame:
-    return seed.join(target.select(name).distinct(), name, "left_anti")
+    stored = target.select(F.col(name).alias("_stored")).where(F.col("_stored").isNotNull()).distinct()
+    return seed.join(stored, own_shuffle(seed[name]) == own_shuffle(stored["_stored"]), "left_anti")
 
 
 def seed_load(target: DataFrame, seed: DataFrame, categories: DataFrame, slug: str = "slug", name: str = "name",
@@ -172,8 +174,8 @@ def seed_load(target: DataFrame, seed: DataFrame, categories: DataFrame, slug: s
 def delete_set_null(items: DataFrame, deleted: DataFrame, category: str = "category_id", key: str = "id",
                     touch: tuple[str, Column] | None = None) -> DataFrame:
     """Items after a delete of categories: they survive without a category, as updated rows."""
-    gone = deleted.select(F.col(key).alias("_gone")).distinct()
-    joined = items.join(gone, items[category] == F.col("_gone"), "left")
+    gone = deleted.select(F.col(key).alias("_gone")).where(F.col("_gone").isNotNull()).distinct()
+    joined = items.join(gone, own_shuffle(items[category]) == own_shuffle(gone["_gone"]), "left")
     hit = F.col("_gone").isNotNull()
 
     def value(name):
@@ -208,7 +210,7 @@ def duplicate_values(df: DataFrame, column: str) -> DataFrame:
 
 
 def missing_references(df: DataFrame, column: str, parent: DataFrame, parent_key: str) -> DataFrame:
-    keys = parent.select(F.col(parent_key).alias(column)).distinct()
+    keys = parent.select(F.col(parent_key).alias(column))
     return df.where(F.col(column).isNotNull()).join(keys, column, "left_anti").select(*df.columns)
 
 
@@ -245,8 +247,10 @@ def quarantine(df: DataFrame, key: str, violations: DataFrame) -> tuple[DataFram
 
 def email_lookup(requests: DataFrame, users: DataFrame, email: str = "email", how: str = "inner") -> DataFrame:
     """Users found by address in any letter case; of several the smallest id counts."""
-    known = users.groupBy(F.lower(email).alias("_email")).agg(F.min_by(F.struct("*"), F.col("id")).alias("user"))
-    return requests.join(known, F.lower(requests[email]) == F.col("_email"), how).drop("_email")
+    known = users.where(F.col(email).isNotNull()).groupBy(F.lower(email).alias("_email")) \
+        .agg(F.min_by(F.struct("*"), F.col("id")).alias("user"))
+    same = own_shuffle(F.lower(requests[email])) == own_shuffle(known["_email"])
+    return requests.join(known, same, how).drop("_email")
 
 
 def grant_outcomes(requests: DataFrame, users: DataFrame, email: str = "email",

@@ -117,7 +117,7 @@ def in_active_category(items: DataFrame, categories: DataFrame, i: ItemCols = IT
 
 def unassigned_excluded(items: DataFrame, categories: DataFrame, i: ItemCols = ITEMS,
                         c: CategoryCols = CATEGORIES) -> DataFrame:
-    keys = categories.select(F.col(c.id).alias(i.category)).distinct()
+    keys = categories.select(F.col(c.id).alias(i.category))
     return items.join(keys, i.category, "left_semi")
 
 
@@ -167,7 +167,7 @@ def admin_listing(items: DataFrame, categories: DataFrame, currency: Column | No
 def orphan_items(items: DataFrame, categories: DataFrame, i: ItemCols = ITEMS,
                  c: CategoryCols = CATEGORIES) -> DataFrame:
     """Items without a live category. Null keys are set apart, so they never meet in one join task."""
-    keys = categories.select(F.col(c.id).alias(i.category)).distinct()
+    keys = categories.select(F.col(c.id).alias(i.category))
     unassigned = items.where(F.col(i.category).isNull()).withColumn("reason", F.lit("unassigned"))
     dangling = items.where(F.col(i.category).isNotNull()).join(keys, i.category, "left_anti") \
         .select(*items.columns).withColumn("reason", F.lit("dangling"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from shelfmark.operators.keys import own_shuffle
 from shelfmark.operators.listing import category_menu
 from shelfmark.schemas import CATEGORIES, ITEMS, CategoryCols, ItemCols
 from shelfmark.sources.versions import numbered
@@ -109,7 +110,8 @@ def affected_categories(before: DataFrame, changes: DataFrame, i: ItemCols = ITE
 def refresh_affected(after: DataFrame, categories: DataFrame, affected: DataFrame, currency=None,
                      i: ItemCols = ITEMS, c: CategoryCols = CATEGORIES, **options) -> DataFrame:
     """Menu pages of the affected categories only; the others did not change."""
-    items = after.join(affected, i.category, "left_semi").select(*after.columns)
+    hit = affected.select(F.col(i.category).alias("_hit"))
+    items = after.join(hit, own_shuffle(after[i.category]) == own_shuffle(hit["_hit"]), "left_semi")
     return category_menu(items, categories, currency, i, c, **options)
 
 
