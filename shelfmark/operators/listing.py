@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shelfmark import fixed_values as V
 from shelfmark.functions import labels as L
 from shelfmark.functions.text import filled
-from shelfmark.operators.ranking import HOT_ROWS, position_within
+from shelfmark.operators.ranking import position_within
 from shelfmark.schemas import CATEGORIES, ITEMS, CategoryCols, ItemCols
 
 PAGE_SIZE = 500
@@ -90,8 +90,8 @@ def limit_n(df: DataFrame, order: list, n: int = 1) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def item_position(items: DataFrame, i: ItemCols = ITEMS, name: str = "pos", hot_rows: int = HOT_ROWS) -> DataFrame:
-    return position_within(items, [i.category], item_order(i), name, hot_rows)
+def item_position(items: DataFrame, i: ItemCols = ITEMS, name: str = "pos") -> DataFrame:
+    return position_within(items, [i.category], item_order(i), name)
 
 
 def category_position(categories: DataFrame, c: CategoryCols = CATEGORIES, name: str = "section") -> DataFrame:
@@ -130,21 +130,20 @@ def with_currency(df: DataFrame, info: DataFrame, currency: str = "currency", id
     return df.withColumn("currency", currency_of(info, currency, id_col))
 
 
-def shown_items(items: DataFrame, currency: Column | None = None, i: ItemCols = ITEMS,
-                hot_rows: int = HOT_ROWS) -> DataFrame:
+def shown_items(items: DataFrame, currency: Column | None = None, i: ItemCols = ITEMS) -> DataFrame:
     """Categorised items with their position, price label and badge.
 
     A category is shown whole or not at all, so positions need no join with the categories.
     """
-    placed = item_position(items.where(F.col(i.category).isNotNull()), i, hot_rows=hot_rows)
+    placed = item_position(items.where(F.col(i.category).isNotNull()), i)
     return placed.withColumn("price_label", L.format_price(i.price, currency)) \
         .withColumn("badge_label", L.display_badge(i.available, i.badge))
 
 
 def menu_listing(items: DataFrame, categories: DataFrame, currency: Column | None = None, i: ItemCols = ITEMS,
-                 c: CategoryCols = CATEGORIES, hot_rows: int = HOT_ROWS) -> DataFrame:
+                 c: CategoryCols = CATEGORIES) -> DataFrame:
     """The reader's listing: each shown item with its category, position, price label and badge."""
-    return in_active_category(shown_items(items, currency, i, hot_rows), categories, i, c)
+    return in_active_category(shown_items(items, currency, i), categories, i, c)
 
 
 def admin_listing(items: DataFrame, categories: DataFrame, currency: Column | None = None, i: ItemCols = ITEMS,
@@ -226,9 +225,9 @@ def menu_pages(placed: DataFrame, fields: list[str], i: ItemCols = ITEMS, page_s
 
 
 def category_menu(items: DataFrame, categories: DataFrame, currency: Column | None = None, i: ItemCols = ITEMS,
-                  c: CategoryCols = CATEGORIES, page_size: int = PAGE_SIZE, hot_rows: int = HOT_ROWS) -> DataFrame:
+                  c: CategoryCols = CATEGORIES, page_size: int = PAGE_SIZE) -> DataFrame:
     """The nested menu of the active categories. Whole pages meet the categories, not single items."""
-    placed = shown_items(items, currency, i, hot_rows)
+    placed = shown_items(items, currency, i)
     pages = menu_pages(placed, [i.id, i.name, "price_label", "badge_label"], i, page_size)
     return in_active_category(pages, categories, i, c)
 

@@ -1,101 +1,36 @@
 """Exact positions within groups, also where one group holds a large share of all rows.
 
-A window over a group puts the whole group into one task. Groups above ``hot_rows`` are therefore cut
-into ranges of their sort key: the position is the row number inside the range plus the number of rows
-in the ranges before it. The range borders come from a sample, the result does not depend on them.
+A window over a group would put the whole group into one task. Here the rows are dealt into ranges of (group, sort
+key) and written once; the position is the row number inside its range plus the rows of the group in the ranges
+before it. There are as many ranges as the session has shuffle partitions, whatever the groups look like.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 2_000_000      # a window over this many rows still sorts within one task
-MAX_HOT_GROUPS = 1024     # hot groups handled; what is left holds under 1/1024 of the rows each
-MAX_RANGES = 255          # ranges per hot group
-SAMPLES_PER_RANGE = 16
-SEARCH_STEPS = [2 ** i for i in range(10, -1, -1)]
-
-
-def _same_group(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    condition = F.lit(True)
-    for name in names:
-        condition = condition & left[name].eqNullSafe(right[f"_h_{name}"])
-    return condition
-
-
-def _looks_small(df: DataFrame, hot_rows: int) -> bool:
-    """Is the planned input below one byte per row of a hot group? Then counting is not worth a job."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < hot_rows
-    except AttributeError:  # a session without the classic API
-        return False
-
-
-def _hot_groups(df: DataFrame, groups: list[str], hot_rows: int) -> DataFrame | None:
-    """One row per hot group with the stride that samples it; at most MAX_HOT_GROUPS rows."""
-    counts = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-    found = counts.orderBy(F.desc("_n"), *groups).limit(MAX_HOT_GROUPS).collect()
-    if not found:
-        return None
-    total = sum(row["_n"] for row in found)
-    rows = []
-    for row in found:
-        wanted = min(MAX_RANGES, -(-row["_n"] // hot_rows), 1 + row["_n"] * MAX_HOT_GROUPS // total)
-        stride = max(1, row["_n"] // (wanted * SAMPLES_PER_RANGE))
-        rows.append((*[row[g] for g in groups], stride))
-    fields = [counts.schema[g] for g in groups]
-    schema = ", ".join(f"`_h_{f.name}` {f.dataType.simpleString()}" for f in fields) + ", _stride bigint"
-    return df.sparkSession.createDataFrame(rows, schema)
+from shelfmark.sources.workspace import stored
 
 
-def _range_borders(df: DataFrame, groups: list[str], hot: DataFrame) -> DataFrame:
-    """Sorted range borders per hot group, picked from rows sampled by a hash of the last sort key."""
-    sample = df.join(F.broadcast(hot), _same_group(df, hot, groups)) \
-        .where(F.pmod(F.xxhash64("_key.last"), "_stride") == 0)
-    ordered = F.sort_array(F.collect_list("_key"))
-    every = F.filter(ordered, lambda _, i: (i + 1) % SAMPLES_PER_RANGE == 0)
-    return sample.groupBy(*[f"_h_{g}" for g in groups]).agg(every.alias("_borders"))
+def position_within(df: DataFrame, groups: list[str], order: list[Column], name: str = "pos") -> DataFrame:
+    """Add the 1-based position of each row in its group under an order.
 
-
-def position_within(df: DataFrame, groups: list[str], order: list[Column], name: str = "pos",
-                    hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add the 1-based position of each row in its group under an ascending order.
-
-    `order` must end with a column that is unique in the group. Nulls come first, so callers fill them.
-    Unless the input is tiny, group sizes are counted first (one job over the group columns); where no
-    group is hot a plain window is used. The input is read up to four times (sizes, borders, offsets, rows),
-    the first three times only its key columns; an input that is costly to compute is better written first.
+    `order` must end with a column that is unique in the group. Without groups all rows are numbered. The input is
+    computed for the sample of the range borders and for the write; what follows reads the written rows, because
+    borders may differ between two evaluations while the positions must not.
     """
-    if not groups:
-        ranked = position_within(df.withColumn("_all", F.lit(0)), ["_all"], order, name, hot_rows)
-        return ranked.drop("_all")
-    hot = None if _looks_small(df, hot_rows) else _hot_groups(df, groups, hot_rows)
-    if hot is None:
-        window = Window.partitionBy(*groups).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(window).cast("bigint"))
-
-    parts = [c.alias(f"k{i}") for i, c in enumerate(order[:-1])] + [order[-1].alias("last")]
-    keyed = df.withColumn("_key", F.struct(*parts))
-    borders = _range_borders(keyed.select(*groups, "_key"), groups, hot)
-
-    def ranged(frame):
-        joined = frame.join(F.broadcast(borders), _same_group(frame, borders, groups), "left")
-        borders_passed = F.aggregate(
-            F.array(*[F.lit(s) for s in SEARCH_STEPS]), F.lit(0),
-            lambda at, step: F.when(F.get("_borders", at + step - 1) <= F.col("_key"), at + step).otherwise(at))
-        bucket = F.when(F.col("_borders").isNull(), F.lit(0)).otherwise(borders_passed)
-        return joined.withColumn("_bucket", bucket).withColumn("_hot", F.col("_borders").isNotNull()) \
-            .drop("_borders", "_key", *[f"_h_{g}" for g in groups])
-
-    sizes = ranged(keyed.select(*groups, "_key")).where("_hot") \
-        .groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*[F.col(g).alias(f"_h_{g}") for g in groups], F.col("_bucket").alias("_b"),
+    group = F.struct(*[F.col(g) for g in groups]) if groups else F.struct(F.lit(0).alias("all"))
+    dealt = df.repartitionByRange(*[F.col(g) for g in groups], *order).withColumn("_range", F.spark_partition_id())
+    written = stored(dealt, "positions")
+    cell = F.struct(F.col("_range"), group.alias("group"))
+    numbered = written.withColumn("_row", F.row_number().over(Window.partitionBy(cell).orderBy(*order)))
+
+    sizes = written.groupBy("_range", group.alias("_group")).agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy("_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_range", *[F.col(f"_group.{g}").alias(f"_g_{g}") for g in groups],
                            F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-
-    # one struct as the window key: a shuffle on the group alone must not be taken as good enough
-    cell = Window.partitionBy(F.struct(*groups, "_bucket")).orderBy(*order)
-    numbered = ranged(keyed).withColumn("_row", F.row_number().over(cell))
-    placed = numbered.join(F.broadcast(offsets),
-                           _same_group(numbered, offsets, groups) & (numbered["_bucket"] == offsets["_b"]), "left")
-    position = (F.col("_row") + F.coalesce(F.col("_offset"), F.lit(0))).cast("bigint")
-    return placed.select(*[F.col(c) for c in df.columns], position.alias(name))
+    same = reduce(lambda a, b: a & b, (F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups),
+                  numbered["_range"] == offsets["_range"])
+    placed = numbered.join(offsets, same)
+    return placed.select(*[F.col(c) for c in df.columns], (F.col("_row") + F.col("_offset")).cast("bigint").alias(name))

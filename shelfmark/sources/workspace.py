@@ -4,7 +4,7 @@ import tempfile
 import uuid
 from functools import cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def workspace(spark: SparkSession) -> str:
@@ -24,3 +24,13 @@ def _local_folder(application: str) -> str:
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{workspace(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows of `df`, written as Parquet and read again, so that what follows doesn't compute them anew.
+
+    The plan behind them is cut off: a lost executor costs no more than the tasks that ran on it.
+    """
+    folder = fresh_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -47,8 +47,9 @@ def duck_rows(con, sql):
 def main(folder: str, names: list[str]) -> int:
     from pyspark.sql import SparkSession
 
-    from shelfmark.plans import ORACLES, QUERIES
+    import __spark_entry__
 
+    QUERIES, ORACLES = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8") \
         .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC") \
         .config("spark.driver.memory", "8g").getOrCreate()

@@ -70,7 +70,7 @@ def test_positions(spark, seed):
     rows = [(i, rng.choice([None, 1, 1, 1, 1, 2, 3]), rng.randint(0, 4), rng.choice("aab")) for i in range(4000)]
     df = spark.createDataFrame(rows, "id int, g int, o int, n string")
     order = [F.col("o"), F.col("n"), F.col("id")]
-    found = {r.id: r.pos for r in position_within(df, ["g"], order, hot_rows=rng.randint(50, 900)).collect()}
+    found = {r.id: r.pos for r in position_within(df, ["g"], order).collect()}
     groups = {}
     for i, g, o, n in rows:
         groups.setdefault(g, []).append((o, n, i))

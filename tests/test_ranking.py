@@ -1,6 +1,7 @@
-"""Positions: the path for hot groups gives what the plain window gives."""
+"""Positions: numbering in ranges gives what one window over the group gives."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfmark.operators.listing import category_menu, item_order, menu_listing
@@ -17,41 +18,50 @@ def skewed(spark):
     return Star(spark, FOLDER).items().withColumn("category_id", group)
 
 
-@pytest.mark.parametrize("hot_rows", [1, 40, 700])
-def test_hot_path_equals_window(skewed, hot_rows):
-    plain = position_within(skewed, ["category_id"], item_order())
-    split = position_within(skewed, ["category_id"], item_order(), hot_rows=hot_rows)
+def plain_window(df, groups, order):
+    cell = Window.partitionBy(*groups).orderBy(*order)
+    return df.withColumn("pos", F.row_number().over(cell).cast("bigint"))
+
+
+def test_ranges_equal_one_window(skewed):
+    split = position_within(skewed, ["category_id"], item_order())
     assert split.count() == skewed.count()
-    assert plain.exceptAll(split).isEmpty()
+    assert plain_window(skewed, ["category_id"], item_order()).exceptAll(split).isEmpty()
 
 
-def test_hot_path_when_all_sort_keys_are_equal(skewed):
+def test_all_sort_keys_equal(skewed):
     order = [F.lit(0), F.lit("same"), F.col("id")]
-    split = position_within(skewed, ["category_id"], order, hot_rows=50)
-    assert position_within(skewed, ["category_id"], order).exceptAll(split).isEmpty()
+    split = position_within(skewed, ["category_id"], order)
+    assert plain_window(skewed, ["category_id"], order).exceptAll(split).isEmpty()
 
 
 def test_no_groups_numbers_all_rows(skewed):
     n = skewed.count()
-    found = position_within(skewed, [], item_order(), hot_rows=100).agg(F.min("pos"), F.max("pos"), F.countDistinct("pos")).first()
+    found = position_within(skewed, [], item_order()).agg(F.min("pos"), F.max("pos"), F.countDistinct("pos")).first()
     assert tuple(found) == (1, n, n)
 
 
 def test_several_group_columns(skewed):
     groups = ["category_id", "badge"]
-    plain = position_within(skewed, groups, item_order())
-    assert plain.exceptAll(position_within(skewed, groups, item_order(), hot_rows=30)).isEmpty()
+    assert plain_window(skewed, groups, item_order()).exceptAll(position_within(skewed, groups, item_order())).isEmpty()
 
 
-def test_hot_group_is_spread_over_cells(skewed):
-    """The window key of the hot path is one struct, which a shuffle on the group alone cannot serve."""
-    split = position_within(skewed, ["category_id"], item_order(), hot_rows=50)
-    assert "hashpartitioning(_w0" in split._jdf.queryExecution().executedPlan().toString()
+def test_one_group_from_few_input_rows_is_numbered_in_many_tasks(spark):
+    """A file of few rows that becomes one large group: the planner's size estimate must not matter."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(300).selectExpr("1 g", "explode(sequence(1, 100)) n", "id").withColumn("key", F.col("id") * 100 + F.col("n"))
+        placed = position_within(rows, ["g"], [F.col("key")])
+        tasks = placed.groupBy(F.spark_partition_id().alias("task")).count().where("count > 0").count()
+        assert tasks > 1
+        assert placed.agg(F.max("pos"), F.countDistinct("pos")).first()[:] == (30000, 30000)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_pages_hold_every_item_of_a_large_category(spark, skewed):
     categories = Star(spark, FOLDER).categories()
-    pages = category_menu(skewed, categories, page_size=50, hot_rows=100)
+    pages = category_menu(skewed, categories, page_size=50)
     sizes = pages.select("category_id", "page", F.size("items").alias("n")).collect()
     big = sorted((r.page, r.n) for r in sizes if r.category_id == 1)
     expected = skewed.where("category_id = 1").count()
@@ -72,7 +82,7 @@ def test_listing_without_any_broadcast_of_tables(spark, skewed):
     expected = sorted((r.id, r.pos) for r in plain.collect())
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        split = menu_listing(skewed, categories, hot_rows=60)
+        split = menu_listing(skewed, categories)
         assert "SortMergeJoin" in split._jdf.queryExecution().executedPlan().toString()
         assert sorted((r.id, r.pos) for r in split.collect()) == expected
     finally:
