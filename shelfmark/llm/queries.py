@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import chat, mixing, warc
+from shelfmark.llm import chat, langid, mixing, simhash, substrings, warc
 from shelfmark.sources.tables import read_table
 from shelfmark.sources.workspace import fresh_folder
 
@@ -99,3 +99,41 @@ def warc_archive(spark: SparkSession, folder: str) -> DataFrame:
     warc.write_archive(read_table(spark, folder, "pages").select("page_id", "url", "html"), archive)
     return warc.read_index(spark, archive).select(
         F.col("record_id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+
+
+@query("op2_simhash_near_dedup")
+def simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and near-duplicate class of every document."""
+    found = simhash.near_duplicates(read_table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+LANGUAGES = ("en", "es", "de", "fr")
+
+
+@query("op8_language_id")
+def language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document from its text, its declared language and its source."""
+    docs = read_table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    judged = langid.identify(docs, LANGUAGES, langid.fit(docs, LANGUAGES), declared=F.col("lang"), host=F.col("source"))
+    return judged.select("doc_id", F.col("lang").alias("declared"), F.col("_language").alias("language"),
+                         F.col("_confidence").alias("confidence"), F.col("_accepted").alias("accepted"))
+
+
+@query("language_id_of_pages")
+def language_id_of_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every page from its text, markup, host and address suffix, by the model of the documents."""
+    docs = read_table(spark, folder, "documents").select("doc_id", "text", "lang")
+    host = F.lower(F.regexp_extract("url", r"://([^/?#]*)", 1))
+    judged = langid.identify(read_table(spark, folder, "pages"), LANGUAGES, langid.fit(docs, LANGUAGES), text="html",
+                             declared=langid.markup_language(F.col("html")), host=host, suffix=langid.address_suffix(host))
+    return judged.select("page_id", F.col("_language").alias("language"), F.col("_confidence").alias("confidence"),
+                         F.col("_accepted").alias("accepted"))
+
+
+@query("op10_substring_dedup")
+def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the passages that an earlier document, or itself, has already."""
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    found = substrings.remove_repeats(docs)
+    return found.select("doc_id", "text", "removed_spans")
