@@ -41,8 +41,8 @@ def write_archive(pages: DataFrame, folder: str, record_id: str = "page_id", url
     A null id counts as larger than all ids. A null address becomes an empty target; line ends in addresses are
     percent-encoded. Repeated rows all get records; a table without rows gives an empty archive.
 
-    Digests with their smallest id come from a grouping that folds copies before its shuffle; payloads meet it on
-    (digest, id), so no group of copies lands in one task.
+    Both the payloads and the smallest id of a digest come from groupings that fold copies before their shuffle, so no
+    group of copies lands in one task.
     """
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     rows = pages.select(F.col(record_id).cast("long").alias("id"), F.col(url).alias("url"), body.alias("payload")) \
@@ -50,10 +50,7 @@ def write_archive(pages: DataFrame, folder: str, record_id: str = "page_id", url
     slim = rows.select("id", "url", "digest", F.octet_length("payload").cast("long").alias("bytes"))
     firsts = slim.groupBy("digest").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
 
-    first_key = firsts.select(F.struct("digest", F.col("first_id").alias("id")).alias("key"))
-    stored_once = rows.withColumn("key", F.struct("digest", "id")).join(first_key, "key", "left_semi") \
-        .select("digest", "payload").dropDuplicates(["digest"])
-    stored_once.write.parquet(f"{folder}/{PAYLOADS}")
+    rows.select("digest", "payload").dropDuplicates(["digest"]).write.parquet(f"{folder}/{PAYLOADS}")
 
     first = firsts.where("copies > 1").select(own_shuffle(F.col("digest")).alias("key"), "first_id")
     marked = slim.withColumn("key", own_shuffle(F.col("digest"))).join(first, "key", "left")
