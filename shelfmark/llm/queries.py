@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import chat, langid, mixing, simhash, substrings, warc
+from shelfmark.llm import chat, langid, mixing, simhash, spann, substrings, vafile, warc
 from shelfmark.sources.tables import read_table
 from shelfmark.sources.workspace import fresh_folder
 
@@ -137,3 +137,26 @@ def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents").select("doc_id", "text")
     found = substrings.remove_repeats(docs)
     return found.select("doc_id", "text", "removed_spans")
+
+
+@query("op3_ann_posting_lists")
+def ann_posting_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """About the 20 nearest rows of every twentieth embedding."""
+    return spann.search(read_table(spark, folder, "embeddings").select("vec_id", "embedding"), F.col("id") % 20 == 0, k=20)
+
+
+@query("op7_exact_topk", """
+with v as (select vec_id, [floor(256 * x::double) for x in embedding] e from embeddings
+           where vec_id is not null and len(embedding) > 0
+                 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id query_id, c.vec_id, list_dot_product(q.e, c.e)::bigint score
+      from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 50 = 0),
+r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::integer rank, vec_id, score from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+""")
+def exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The 5 best rows for every fiftieth embedding, by the inner product of integer vectors."""
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256))
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    return vafile.search(read_table(spark, folder, "embeddings").select("vec_id", "embedding"), F.col("id") % 50 == 0, k=5,
+                         vector=F.when(finite, whole))
