@@ -1,9 +1,10 @@
 """The registered queries of this package: one per operator, over whole tables, with SQL where SQL can say it."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import chat, langid, mixing, simhash, spann, substrings, vafile, warc
+from shelfmark.llm import bpe, chat, langid, mixing, simhash, spann, substrings, urls, vafile, warc
 from shelfmark.sources.tables import read_table
 from shelfmark.sources.workspace import fresh_folder
 
@@ -160,3 +161,30 @@ def exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     return vafile.search(read_table(spark, folder, "embeddings").select("vec_id", "embedding"), F.col("id") % 50 == 0, k=5,
                          vector=F.when(finite, whole))
+
+
+URL_RULES = [urls.Rule("allow", "org", "/"), urls.Rule("block", "example.org", "/es/"), urls.Rule("block", "example.org", "/en/1"),
+             urls.Rule("allow", "com", "/fr/"), urls.Rule("block", "com", "/de/")]
+
+
+@query("op1_url_filters")
+def url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on every page's address; the model learns from addresses that a rule decides."""
+    pages = read_table(spark, folder, "pages").select("page_id", "url")
+    ruled = urls.with_parts(pages, URL_RULES).select("url", F.col("_ruling").alias("label"))
+    judged = urls.judge(pages, URL_RULES, urls.fit(ruled))
+    return judged.select("page_id", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"),
+                         F.col("_verdict").alias("verdict"))
+
+
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+@query("op9_byte_bpe")
+def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document, and the bytes they decode to, as digests."""
+    ranks = bpe.load(public_tokenizers.path(VOCABULARY))
+    encoded = bpe.encode(read_table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN, keep=["doc_id"])
+    decoded = encoded.select("doc_id", F.size("_ids").cast("long").alias("n_tokens"), bpe.packed(F.col("_ids")).alias("ids"),
+                             bpe.decode(F.col("_ids"), ranks).alias("bytes"))
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
