@@ -59,7 +59,7 @@ def load(path: str) -> Ranks:
 
 def _placed(after: dict[int, list[tuple[int, int]]], size: int) -> tuple[np.ndarray, np.ndarray]:
     """Shift of each token and the array of merges; tokens with the most merges are placed first."""
-    span = 4 * max(size, sum(map(len, after.values())) // 2)
+    span = 4 * max(size // 4, sum(map(len, after.values())))
     rng = np.random.default_rng(0)
     shift, merges = np.zeros(size, dtype=np.int64), np.full(span + size, -1, dtype=np.int64)
     for token, pairs in sorted(after.items(), key=lambda x: (-len(x[1]), x[0])):
