@@ -4,6 +4,8 @@ A batch is folded to one row per key by aggregation before it meets the target,
 third of the batch costs one partial aggregate and no skewed join.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -236,11 +238,33 @@ def enforce(df: DataFrame, violations: DataFrame) -> DataFrame:
     return df.where(F.when(sample.isNotNull(), failure.cast("boolean")).otherwise(F.lit(True)))
 
 
-def quarantine(df: DataFrame, key: str, violations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split rows into clean and refused by the keys of row and reference violations."""
-    bad = violations.select(F.col("key").alias("_bad")).distinct()
-    named = df[key].cast("string") == F.col("_bad")
-    return df.join(bad, named, "left_anti"), df.join(bad, named, "left_semi")
+def refused_rows(df: DataFrame, checks: dict[str, Column] | None = None, required: list[str] = (),
+                 unique: list[str] = (), references: dict[str, tuple[DataFrame, str]] | None = None,
+                 name: str = "refused") -> DataFrame:
+    """Add whether a row breaks any rule. Of rows that share a value of a unique column all are refused.
+
+    Row rules need no join; uniqueness and references join on the column they are about, so rows with a null
+    key are judged like all others. Null values are neither repeated nor dangling.
+    """
+    bad = [broken(predicate) for predicate in (checks or {}).values()] + [F.col(c).isNull() for c in required]
+    marked = df.withColumn(name, reduce(lambda a, b: a | b, bad, F.lit(False)))
+    sides = [(c, duplicate_values(df, c).select(F.col(c).alias("_value")), True) for c in unique]
+    sides += [(c, parent.select(F.col(k).alias("_value")).where(F.col(k).isNotNull()).distinct(), False)
+              for c, (parent, k) in (references or {}).items()]
+    for column, values, hit_is_bad in sides:
+        known = values.select(own_shuffle(F.col("_value")).alias("_key"), F.lit(True).alias("_hit"))
+        joined = marked.join(known, own_shuffle(marked[column]) == F.col("_key"), "left")
+        hit = F.col("_hit").isNotNull()
+        wrong = hit if hit_is_bad else ~hit & F.col(column).isNotNull()
+        marked = joined.withColumn(name, F.col(name) | wrong).drop("_key", "_hit")
+    return marked
+
+
+def quarantine(df: DataFrame, checks: dict[str, Column] | None = None, required: list[str] = (),
+               unique: list[str] = (), references: dict[str, tuple[DataFrame, str]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Split rows into clean and refused."""
+    marked = refused_rows(df, checks, required, unique, references, "_refused")
+    return marked.where(~F.col("_refused")).drop("_refused"), marked.where("_refused").drop("_refused")
 
 
 # -- owner grants ----------------------------------------------------------------------------------

@@ -71,7 +71,7 @@ def category_order(c: CategoryCols = CATEGORIES) -> list[Column]:
 
 
 def item_order(i: ItemCols = ITEMS) -> list[Column]:
-    """Available before sold out, then manual order, then name."""
+    """What can be had now leads; the owner's numbers and then the names arrange the rest."""
     return [~L.is_on(i.available), L.or_zero(i.order), by_locale(i.name), F.col(i.id)]
 
 
@@ -133,7 +133,7 @@ def with_currency(df: DataFrame, info: DataFrame, currency: str = "currency", id
 def shown_items(items: DataFrame, currency: Column | None = None, i: ItemCols = ITEMS) -> DataFrame:
     """Categorised items with their position, price label and badge.
 
-    A category is shown whole or not at all, so positions need no join with the categories.
+    A category is shown whole or not at all, so its items may be filtered before they are numbered.
     """
     placed = item_position(items.where(F.col(i.category).isNotNull()), i)
     return placed.withColumn("price_label", L.format_price(i.price, currency)) \
@@ -143,7 +143,8 @@ def shown_items(items: DataFrame, currency: Column | None = None, i: ItemCols =
 def menu_listing(items: DataFrame, categories: DataFrame, currency: Column | None = None, i: ItemCols = ITEMS,
                  c: CategoryCols = CATEGORIES) -> DataFrame:
     """The reader's listing: each shown item with its category, position, price label and badge."""
-    return in_active_category(shown_items(items, currency, i), categories, i, c)
+    active = unassigned_excluded(items, active_categories(categories, c), i, c)
+    return in_active_category(shown_items(active, currency, i), categories, i, c)
 
 
 def admin_listing(items: DataFrame, categories: DataFrame, currency: Column | None = None, i: ItemCols = ITEMS,
@@ -227,7 +228,7 @@ def menu_pages(placed: DataFrame, fields: list[str], i: ItemCols = ITEMS, page_s
 def category_menu(items: DataFrame, categories: DataFrame, currency: Column | None = None, i: ItemCols = ITEMS,
                   c: CategoryCols = CATEGORIES, page_size: int = PAGE_SIZE) -> DataFrame:
     """The nested menu of the active categories. Whole pages meet the categories, not single items."""
-    placed = shown_items(items, currency, i)
+    placed = shown_items(unassigned_excluded(items, active_categories(categories, c), i, c), currency, i)
     pages = menu_pages(placed, [i.id, i.name, "price_label", "badge_label"], i, page_size)
     return in_active_category(pages, categories, i, c)
 

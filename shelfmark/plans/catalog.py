@@ -5,7 +5,7 @@ belong in one batch, and a steady trickle of them in ``streaming.changefeed``. A
 rule fails while it is written, so its version never becomes visible.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfmark import fixed_values as V
@@ -41,6 +41,14 @@ def row_id(*columns: str) -> Column:
     return F.md5(text.cast("binary"))
 
 
+def with_row_ids(rows: DataFrame, *columns: str, salt: int = 0) -> DataFrame:
+    """Rows with an id of their own each: equal rows differ by their number, equal statements by the salt."""
+    content = row_id(*columns)
+    equal = Window.partitionBy(content).orderBy(*[F.col(c) for c in columns])
+    numbered = rows.withColumn("_ordinal", F.row_number().over(equal)).withColumn("_salt", F.lit(salt))
+    return numbered.withColumn("id", row_id(*columns, "_ordinal", "_salt")).drop("_ordinal", "_salt")
+
+
 def item_form(rows: DataFrame) -> DataFrame:
     """Item fields as typed into a form, turned into column values; other columns pass through."""
     rules = {
@@ -126,28 +134,32 @@ class Catalog:
 
     def seed(self, categories: DataFrame, items: DataFrame, info: DataFrame, as_of: Column) -> None:
         """First load, safe to repeat. Item rows name their category by slug."""
+        base = {name: self._version(name) for name in ("categories", "cafe_info", "menu_items")}
         with_id = categories.withColumn("id", row_id("slug")).withColumn("seq", F.col("sort_order"))
-        self._write("categories", C.insert_if_absent(self.table("categories"), with_id, "slug", "seq",
-                                                     self._defaults("categories", as_of)))
+        self._seeded("categories", base, C.insert_if_absent(self.table("categories"), with_id, "slug", "seq",
+                                                      self._defaults("categories", as_of)))
         first = info.withColumn("seq", F.lit(1))
-        self._write("cafe_info", C.insert_if_absent(self.table("cafe_info"), first, "id", "seq",
-                                                    self._defaults("cafe_info", as_of)))
-        named = items.withColumn("id", row_id("slug", "name", "sort_order"))
-        self._write("menu_items", C.seed_load(self.table("menu_items"), named, self.table("categories"),
-                                              defaults=self._defaults("menu_items", as_of)))
+        self._seeded("cafe_info", base, C.insert_if_absent(self.table("cafe_info"), first, "id", "seq",
+                                                     self._defaults("cafe_info", as_of)))
+        named = with_row_ids(items, "slug", "name", "sort_order")
+        self._seeded("menu_items", base, C.seed_load(self.table("menu_items"), named, self.table("categories"),
+                                               defaults=self._defaults("menu_items", as_of)))
 
     def insert(self, name: str, rows: DataFrame, user_id: str | None, as_of: Column) -> int:
         if not self._may(name, "insert", user_id):
             raise NotAllowed(f"new row violates the access rules of {name}")
-        rows = rows if "id" in rows.columns else rows.withColumn("id", row_id(*rows.columns))
+        base = self._version(name)
+        if "id" not in rows.columns:
+            rows = with_row_ids(rows, *rows.columns, salt=base)
         target = self.table(name)
         fresh = C.new_rows(target, rows, self._defaults(name, as_of))
-        return self._checked(name, target.unionByName(fresh), fresh, TABLES[name].names)
+        return self._checked(name, target.unionByName(fresh), fresh, TABLES[name].names, base)
 
     def update(self, name: str, patches: DataFrame, user_id: str | None, as_of: Column) -> int | None:
         """Patch rows by id; the columns of `patches` are set. Someone else than an owner changes no rows."""
         if not self._may(name, "update", user_id):
             return None
+        base = self._version(name)
         key, target = KEYS[name], self.table(name)
         columns = [c for c in patches.columns if c != key]
 
@@ -155,7 +167,7 @@ class Catalog:
             return C.update_patch(rows, patches, key, columns, touch=("updated_at", as_of))
 
         hit = target.join(patches.select(key).distinct(), key, "left_semi").select(*target.columns)
-        return self._checked(name, patched(target), patched(hit), columns)
+        return self._checked(name, patched(target), patched(hit), columns, base)
 
     def set_availability(self, flags: DataFrame, user_id: str | None, as_of: Column) -> int | None:
         coerced = flags.select("id", F.coalesce("is_available", F.lit(False)).alias("is_available"))
@@ -164,28 +176,35 @@ class Catalog:
     def save_info(self, patch: DataFrame, user_id: str | None, as_of: Column) -> int:
         if not self._may("cafe_info", "insert", user_id):
             raise NotAllowed("new row violates the access rules of cafe_info")
+        base = self._version("cafe_info")
         one = patch.withColumn("id", F.lit(1))
         state = C.upsert(self.table("cafe_info"), one, "id", self._defaults("cafe_info", as_of),
                          touch=("updated_at", as_of))
-        return self._checked("cafe_info", state, state, one.columns)
+        return self._checked("cafe_info", state, state, one.columns, base)
 
     def delete(self, name: str, keys: DataFrame, user_id: str | None, as_of: Column) -> int | None:
         """Delete by id; items of a deleted category stay, without one."""
         if not self._may(name, "delete", user_id):
             return None
+        base = self._version(name)
+        version = self._write(name, C.delete_rows(self.table(name), keys, KEYS[name]), base)
         if name == "categories":
-            freed = C.delete_set_null(self.table("menu_items"), keys, touch=("updated_at", as_of))
-            self._write("menu_items", freed)
-        return self._write(name, C.delete_rows(self.table(name), keys, KEYS[name]))
+            # until this is written readers see items of an unknown category, which are shown as without one;
+            # a repeated delete frees what a failure left
+            base = self._version("menu_items")
+            self._write("menu_items", C.delete_set_null(self.table("menu_items"), keys, touch=("updated_at", as_of)), base)
+        return version
 
     def grant(self, emails: DataFrame, users: DataFrame, full_name: str, as_of: Column) -> DataFrame:
         """Make users owners by address; returns what became of each address. Not open to readers or owners."""
+        base = self._version("admin_users")
         outcomes = C.grant_outcomes(emails, users)
-        self._write("admin_users", C.grant_owner(self.table("admin_users"), outcomes, full_name, as_of))
+        self._write("admin_users", C.grant_owner(self.table("admin_users"), outcomes, full_name, as_of), base)
         return outcomes
 
     def revoke(self, emails: DataFrame) -> int:
-        return self._write("admin_users", C.revoke_owner(self.table("admin_users"), emails))
+        base = self._version("admin_users")
+        return self._write("admin_users", C.revoke_owner(self.table("admin_users"), emails), base)
 
     # -- helpers --
 
@@ -196,7 +215,14 @@ class Catalog:
         fixed = {column: F.lit(value) for column, value in DEFAULTS.get(name, {}).items()}
         return {**fixed, "created_at": as_of, "updated_at": as_of}
 
-    def _checked(self, name: str, state: DataFrame, changed: DataFrame, columns: list[str]) -> int:
+    def _version(self, name: str) -> int:
+        return versions.latest_version(self.spark, f"{self.folder}/{name}") or 0
+
+    def _seeded(self, name: str, base: dict[str, int], state: DataFrame) -> int:
+        """Write a state after a seed, which keeps every rule as all writes do."""
+        return self._checked(name, state, state, state.columns, base[name])
+
+    def _checked(self, name: str, state: DataFrame, changed: DataFrame, columns: list[str], base: int) -> int:
         """Write a state whose changed rows keep every rule. Looked at are those rows and, for a unique
         column that was set, the rows that share its values."""
         references = {"category_id": (self.table("categories"), "id")} \
@@ -206,7 +232,10 @@ class Catalog:
             if column in columns:
                 rivals = state.join(changed.select(column).distinct(), column, "left_semi")
                 found.append(C.constraint_check(rivals, KEYS[name], unique=[column]))
-        return self._write(name, C.enforce(state, R.union_all(found)))
+        return self._write(name, C.enforce(state, R.union_all(found)), base)
 
-    def _write(self, name: str, state: DataFrame) -> int:
-        return versions.write_version(state, f"{self.folder}/{name}", CLUSTERED.get(name, []))
+    def _write(self, name: str, state: DataFrame, base: int | None = None) -> int:
+        """Write the version after `base`, which was the newest before the state was planned. It fails if another
+        writer has made that version meanwhile, and so loses no write."""
+        version = None if base is None else base + 1
+        return versions.write_version(state, f"{self.folder}/{name}", CLUSTERED.get(name, []), version)

@@ -10,57 +10,72 @@ from shelfmark.plans.registry import query
 from shelfmark.plans.star import as_changes
 from shelfmark.sources import snapshots as N
 from shelfmark.sources import tables as S
-from shelfmark.sources.workspace import fresh_folder
+from shelfmark.sources.workspace import fresh_folder, stored
 from shelfmark.streaming import changefeed as G
 
 AS_OF = 1_717_243_200_000
 ORDER = ["ts", "event_id"]
+INFO_SQL = "select 1 id, 'ETB' currency, cast(count(*) as varchar) || ' items' name from it"
 PAGES_SQL = """
-select cast(category_id as varchar) category_id, (pos - 1) // 500 page, count(*) n_items{more} from listing group by all"""
+select 'items' part, cast(category_id as varchar) category_id, (pos - 1) // 500 page, count(*) n, '' label{more} from listing group by all
+union all select 'tabs', cast(null as varchar), cast(null as bigint), 1, name{more} from cat where is_active
+union all select 'tabs', cast(null as varchar), cast(null as bigint), 1, 'All'{more}
+union all select 'info', cast(null as varchar), cast(null as bigint), 1, name{more} from (""" + INFO_SQL + """)"""
+
+
+def shown(s):
+    """Menu pages, tabs and an info row, as a snapshot holds them."""
+    info = s.items().agg(F.lit(1).alias("id"), F.lit("ETB").alias("currency"),
+                         F.concat(F.count(F.lit(1)).cast("string"), F.lit(" items")).alias("name"))
+    return N.catalog_snapshot(R.category_menu(s.items(), s.categories()), R.nav_tabs(s.categories()), info)
 
 
 def menu_folder(s, *saved_at):
-    """The menu saved once for each time; returns where."""
+    """The catalog saved once for each time, built once; returns where."""
     folder = fresh_folder(s.spark, "snapshot")
-    for moment in saved_at:
-        N.snapshot_write(R.category_menu(s.items(), s.categories()), folder, moment)
+    N.snapshot_write(shown(s), folder, *saved_at)
     return folder
 
 
-def page_sizes(snapshot, *more):
-    n = F.json_array_length(F.get_json_object("data", "$.items")).cast("bigint")
-    return snapshot.select("category_id", "page", n.alias("n_items"), *more)
+def parts(snapshot, *more):
+    n = F.when(F.col("part") == "items", F.json_array_length(F.get_json_object("data", "$.items"))).otherwise(1)
+    label = F.when(F.col("part") == "tabs", F.regexp_replace(F.get_json_object("data", "$.label"), r"^\S+ ", "")) \
+        .when(F.col("part") == "info", F.get_json_object("data", "$.name")).otherwise("")
+    return snapshot.select("part", "category_id", "page", n.cast("bigint").alias("n"), label.alias("label"), *more)
 
 
 # -- snapshots -------------------------------------------------------------------------------------
 
 @query("snapshot_write", PAGES_SQL.format(more=f", cast({AS_OF} as bigint) saved_at"))
 def _(s):
-    return page_sizes(N.snapshot_read(s.spark, menu_folder(s, AS_OF)), "saved_at")
+    return parts(N.snapshot_read(s.spark, menu_folder(s, AS_OF)), "saved_at")
 
 
 @query("snapshot_latest_valid", PAGES_SQL.format(more=f", cast({AS_OF - SNAPSHOT_TTL_MS} as bigint) saved_at"))
 def _(s):
-    """The older snapshot is past its time; the other is exactly as old as allowed."""
-    folder = menu_folder(s, AS_OF - SNAPSHOT_TTL_MS - 1, AS_OF - SNAPSHOT_TTL_MS)
-    return page_sizes(N.snapshot_latest_valid(N.snapshot_read(s.spark, folder), AS_OF), "saved_at")
+    """The oldest snapshot is past its time, the next just as old as allowed, and the newest corrupt."""
+    folder = menu_folder(s, AS_OF - SNAPSHOT_TTL_MS - 1, AS_OF - SNAPSHOT_TTL_MS, AS_OF)
+    broken = s.spark.read.schema(N.CONTENT_SCHEMA).parquet(f"{folder}/saved_at={AS_OF}").limit(1).withColumn("data", F.lit("{broken"))
+    stored(broken, "broken").write.mode("append").parquet(f"{folder}/saved_at={AS_OF}")
+    return parts(N.snapshot_latest_valid(s.spark, folder, AS_OF), "saved_at")
 
 
 @query("snapshot_fallback", PAGES_SQL.format(more=", 'snapshot' source") + " union all " + PAGES_SQL.format(more=", 'fresh' source"))
 def _(s):
-    saved = N.snapshot_latest_valid(N.snapshot_read(s.spark, menu_folder(s, AS_OF)), AS_OF)
-    lost = N.snapshot_fallback(lambda: S.read_table(s.spark, s.folder, "table_that_is_gone"), saved)
-    found = N.snapshot_fallback(lambda: N.to_snapshot(R.category_menu(s.items(), s.categories())), saved)
-    return page_sizes(N.loaded_or_error(lost), "source").unionByName(page_sizes(N.loaded_or_error(found), "source"))
+    """Once the source fails while it is read, once it doesn't."""
+    saved = N.snapshot_latest_valid(s.spark, menu_folder(s, AS_OF), AS_OF).drop("saved_at")
+    lost = N.snapshot_fallback(lambda: shown(s).withColumn("data", F.raise_error(F.lit("the disk is gone"))), saved)
+    found = N.snapshot_fallback(lambda: shown(s), saved)
+    return parts(N.loaded_or_error(lost), "source").unionByName(parts(N.loaded_or_error(found), "source"))
 
 
 @query("snapshot_clear", "select count(distinct category_id) > 0 had_rows, 0 n_left from listing")
 def _(s):
     folder = menu_folder(s, AS_OF)
-    had_rows = N.snapshot_read(s.spark, folder).count() > 0
+    before = stored(N.snapshot_read(s.spark, folder).agg((F.count(F.lit(1)) > 0).alias("had_rows")), "before")
     N.snapshot_clear(s.spark, folder)
     left = N.snapshot_read(s.spark, folder).agg(F.count(F.lit(1)).cast("int").alias("n_left"))
-    return left.select(F.lit(had_rows).alias("had_rows"), "n_left")
+    return before.select("had_rows", left.scalar().alias("n_left"))
 
 
 # -- change feed -----------------------------------------------------------------------------------

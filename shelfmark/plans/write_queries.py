@@ -172,10 +172,16 @@ def constraint_check(s):
 
 
 @query("quarantine", """
-select id, name, price < 0 or badge = 'hot' is not distinct from true and price < 0 or coalesce(badge = 'hot', false) refused from it""")
+, rows as (select case when id % 50 <> 0 then id end id, name, id % 1400 code, category_id, price, badge from it)
+select id, name, price < 0 or coalesce(badge = 'hot', false) or category_id is null
+       or count(*) over (partition by code) > 1 or category_id in (select id from cat where region = 2) refused
+from rows""")
 def _(s):
-    found = C.row_violations(s.items(), "id", {"price not negative": F.col("price") >= 0, "badge known": F.col("badge").isin("new")})
-    clean, refused = C.quarantine(s.items(), "id", found)
+    """Rows of which some have no key and some share a code."""
+    rows = s.items().withColumn("code", F.col("id") % 1400).withColumn("id", F.when(F.col("id") % 50 != 0, F.col("id")))
+    clean, refused = C.quarantine(
+        rows, {"price not negative": F.col("price") >= 0, "badge known": F.col("badge").isin("new")},
+        required=["category_id"], unique=["code"], references={"category_id": (s.categories().where("region <> 2"), "id")})
     return clean.withColumn("refused", F.lit(False)).unionByName(refused.withColumn("refused", F.lit(True))) \
         .select("id", "name", "refused")
 

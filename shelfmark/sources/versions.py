@@ -31,10 +31,44 @@ def read_version(spark: SparkSession, folder: str, version: int | None = None) -
     return spark.read.parquet(f"{folder}/version={version}")
 
 
-def write_version(df: DataFrame, folder: str, cluster_by: list[str] = ()) -> int:
-    """Write the next version; sorting inside files lets later scans skip row groups."""
+class VersionTaken(Exception):
+    """Another writer has claimed the version; the statement may be repeated on the newest state."""
+
+
+def _marker(spark: SparkSession, folder: str, version: int):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/claim={version}")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def write_version(df: DataFrame, folder: str, cluster_by: list[str] = (), version: int | None = None) -> int:
+    """Write the next version, or the one given; sorting inside files lets later scans skip row groups.
+
+    A marker file claims the number first, which the file system makes for one caller only, so of two writers one
+    fails and no version is replaced. A write that fails gives its number back; one that was killed leaves its marker,
+    which `release` takes away.
+    """
     spark = df.sparkSession
-    version = (latest_version(spark, folder) or 0) + 1
+    version = (latest_version(spark, folder) or 0) + 1 if version is None else version
+    fs, marker = _marker(spark, folder, version)
+    if not fs.createNewFile(marker):
+        raise VersionTaken(f"version {version} of {folder} is taken")
     frame = df.sortWithinPartitions(*cluster_by) if cluster_by else df
-    frame.write.mode("overwrite").parquet(f"{folder}/version={version}")
+    try:
+        frame.write.mode("overwrite").parquet(f"{folder}/version={version}")
+    except BaseException:
+        fs.delete(marker, False)
+        raise
     return version
+
+
+def release(spark: SparkSession, folder: str, version: int) -> None:
+    """Give back the number of a write that was killed."""
+    fs, marker = _marker(spark, folder, version)
+    fs.delete(marker, False)
+
+
+def drop_folders(spark: SparkSession, folder: str, prefix: str, numbers: list[int]) -> None:
+    """Remove numbered folders that no reader needs any more."""
+    for number in numbers:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{prefix}={number}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

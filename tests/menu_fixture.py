@@ -1,19 +1,21 @@
 """A small catalog with the shape of a menu: 7 categories, 27 items, one info row. All texts are invented."""
 
 CATEGORY_COLUMNS = "slug string, name string, emoji string, subtitle string, icon_bg string, sort_order int"
+# fixed values: the slugs for which icon colours are fixed
+SLUGS = ["breakfast", "burger", "coffee", "fastfood", "juice", "main", "pizza"]
 CATEGORIES = [
-    ("pizza", "Pizza", "🍕", "From the oven", None, 1),
-    ("burger", "Burgers", "🍔", None, None, 2),
-    ("juice", "Juices", "🥤", "Cold", "#111111", 3),
-    ("coffee", "Coffee", "☕", None, None, 4),
-    ("breakfast", "Breakfast", "🍳", None, None, 5),
-    ("main", "Mains", "🍽", None, None, 6),
-    ("fastfood", "Fast Food", "🌭", None, None, 7),
+    ("juice", "Pressed to order", "🧃", "Six fruits", "#111111", 1),
+    ("main", "Out of the pan", "🥘", None, None, 2),
+    ("coffee", "Beans and leaves", "🫖", None, None, 3),
+    ("pizza", "Round and flat", "🫓", "Stone baked", None, 4),
+    ("fastfood", "To carry away", "🥡", None, None, 5),
+    ("breakfast", "Before noon", "🥞", None, None, 6),
+    ("burger", "Between two halves", "🥪", None, None, 7),
 ]
 SIZES = {"pizza": 5, "burger": 5, "juice": 6, "coffee": 5, "breakfast": 2, "main": 2, "fastfood": 2}
-NEW = {("pizza", 2), ("pizza", 3), ("burger", 1), ("burger", 3), ("juice", 3)}
-HOT = {("burger", 5)}
-AMHARIC = {"breakfast": "እንቁላል • ዳቦ", "main": "ሩዝ"}
+NEW = {("juice", 2), ("juice", 6), ("coffee", 4), ("burger", 2), ("pizza", 5)}
+HOT = {("burger", 4)}
+AMHARIC = {"breakfast": "ቁጥር አንድ", "main": "ቁጥር ሁለት"}
 
 ITEM_COLUMNS = ("slug string, name string, description string, description_am string, price decimal(10,2), "
                 "emoji string, badge string, sort_order int")

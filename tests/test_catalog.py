@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from shelfmark.operators import listing as R
 from shelfmark.operators.audit import seed_diff
 from shelfmark.plans.catalog import Catalog, NotAllowed, category_form, info_form, item_form
+from shelfmark.sources.versions import VersionTaken
 
 
 def at(day):
@@ -65,16 +66,48 @@ def test_seed_twice_is_seed_once(spark, shop):
     assert all(seed_diff(df, shop.table(t)).isEmpty() for t, df in before.items())
 
 
+def test_seed_rows_keep_every_rule_and_get_ids_of_their_own(spark, shop):
+    categories, rows, info = frames(spark)
+    twice = rows.where("name = 'Juice No. 1'").withColumn("name", F.lit("Same"))
+    bad = twice.withColumn("price", F.lit(-5).cast("decimal(10,2)"))
+    with pytest.raises(Exception, match="price not negative"):
+        shop.seed(categories, rows.unionByName(bad), info, at(2))
+    assert shop.table("menu_items").count() == 27
+    more = rows.unionByName(twice).unionByName(twice)
+    shop.seed(categories, more, info, at(2))
+    shop.seed(categories, more, info, at(3))
+    same = shop.table("menu_items").where("name = 'Same'").collect()
+    assert len(same) == 2 and len({r.id for r in same}) == 2 and shop.table("menu_items").count() == 29
+
+
+def test_equal_inserts_are_two_rows(spark, shop):
+    juice = shop.table("categories").where("slug = 'juice'").first().id
+    cake = spark.createDataFrame([("Cake", juice), ("Cake", juice)], "name string, category_id string") \
+        .withColumn("price", F.lit(10).cast("decimal(10,2)"))
+    shop.insert("menu_items", cake, "u1", at(2))
+    shop.insert("menu_items", cake.limit(1), "u1", at(2))
+    assert shop.table("menu_items").where("name = 'Cake'").select("id").distinct().count() == 3
+
+
+def test_a_statement_planned_on_an_older_state_fails(spark, shop):
+    base = shop._version("menu_items")
+    state = shop.table("menu_items")
+    shop.delete("menu_items", state.limit(1).select("id"), "u1", at(2))
+    with pytest.raises(VersionTaken):
+        shop._write("menu_items", state, base)
+    assert shop.table("menu_items").count() == 26
+
+
 def test_reader_sees_sections_tabs_and_prices(seeded):
     listing = seeded.listing()
     assert listing.count() == 27 and listing.select("slug").distinct().count() == 7
     tabs = [r.slug for r in seeded.tabs().orderBy("pos").collect()]
-    assert tabs == ["all", "pizza", "burger", "juice", "coffee", "breakfast", "main", "fastfood"]
+    assert tabs == ["all", *[c[0] for c in CATEGORIES]]
     assert {r.slug for r in seeded.listing("pizza").collect()} == {"pizza"}
     assert seeded.listing("no-such-tab").count() == 27
     menu = {r.slug: r["items"] for r in seeded.menu().collect()}
     assert [x["price_label"] for x in menu["pizza"]][0] == "450 ETB"
-    assert [x["badge_label"] for x in menu["burger"]] == ["NEW", "", "NEW", "", "HOT"]
+    assert [x["badge_label"] for x in menu["burger"]] == ["", "NEW", "", "HOT", ""]
 
 
 def test_price_edit_reaches_the_reader(spark, shop):

@@ -88,13 +88,24 @@ def test_checks_pass_on_null_and_name_the_rule(spark):
     found = C.constraint_check(df, "id", checks, required=["price"], unique=["badge"])
     assert rows(found) == [("badge", "3"), ("badge unique", "new"), ("price missing", "2"), ("price", "1")] or \
         set(rows(found)) == {("badge", "3"), ("badge unique", "new"), ("price missing", "2"), ("price", "1")}
-    clean, bad = C.quarantine(df, "id", C.row_violations(df, "id", checks))
+    clean, bad = C.quarantine(df, checks)
     assert (sorted(r.id for r in clean.collect()), sorted(r.id for r in bad.collect())) == ([2, 4], [1, 3])
     with pytest.raises(Exception, match="constraint violated"):
         C.enforce(df, found).collect()
     assert C.enforce(df, C.row_violations(df, "id", {"fine": F.lit(True)})).count() == 4
 
 
+def test_quarantine_judges_rows_without_keys_and_refuses_the_rows_that_share_a_value(spark):
+    df = spark.createDataFrame([(None, -3, "1", 1), (1, 5, "9", 1), (2, 5, "9", 1), (9, 5, "8", 1), (3, 5, None, 7), (None, 5, None, None)],
+                               "id int, price int, code string, parent int")
+    parents = spark.createDataFrame([(1,), (1,), (None,)], "id int")
+    clean, bad = C.quarantine(df, {"price": F.col("price") >= 0}, unique=["code"], references={"parent": (parents, "id")})
+    assert sorted(map(str, rows(clean))) == sorted(map(str, [(9, 5, "8", 1), (None, 5, None, None)]))
+    assert sorted(map(str, rows(bad))) == sorted(map(str, [(None, -3, "1", 1), (1, 5, "9", 1), (2, 5, "9", 1), (3, 5, None, 7)]))
+    row_rules = C.refused_rows(df, {"price": F.col("price") >= 0}, required=["id"])
+    assert "Join" not in row_rules._jdf.queryExecution().executedPlan().toString()
+
+
 def test_email_lookup_takes_the_smallest_id(spark):
     users = spark.createDataFrame([(2, "A@x"), (1, "a@X"), (3, "b@x")], "id int, email string")
     asked = spark.createDataFrame([("a@x",), ("c@x",)], "email string")

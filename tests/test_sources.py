@@ -81,17 +81,36 @@ def test_workspace_is_the_named_folder(spark):
     assert fresh_folder(spark, "x") != fresh_folder(spark, "x")
 
 
+def test_two_writers_of_one_version(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    versions.write_version(spark.range(3), folder)
+    assert versions.write_version(spark.range(4), folder, version=2) == 2
+    with pytest.raises(versions.VersionTaken):
+        versions.write_version(spark.range(5), folder, version=2)
+    assert versions.read_version(spark, folder).count() == 4
+    broken = spark.range(5).where(F.raise_error(F.lit("refused")).cast("boolean"))
+    with pytest.raises(Exception, match="refused"):
+        versions.write_version(broken, folder)
+    assert versions.write_version(spark.range(6), folder) == 3  # a failed write gives its number back
+    (tmp_path / "t" / "claim=4").touch()                          # a killed one doesn't
+    with pytest.raises(versions.VersionTaken):
+        versions.write_version(spark.range(7), folder)
+    versions.release(spark, folder, 4)
+    assert versions.write_version(spark.range(7), folder) == 4
+
+
 def save(spark, folder, saved_at, data='{"items":[1]}'):
-    spark.createDataFrame([("c", 0, data)], "category_id string, page bigint, data string") \
-        .write.mode("append").parquet(f"{folder}/saved_at={saved_at}")
+    rows = spark.createDataFrame([("items", "c", 0, data)], N.CONTENT_SCHEMA)
+    rows.write.mode("append").parquet(f"{folder}/saved_at={saved_at}")
 
 
 def latest(spark, folder, as_of):
-    return [r.saved_at for r in N.snapshot_latest_valid(N.snapshot_read(spark, folder), as_of).collect()]
+    return sorted({r.saved_at for r in N.snapshot_latest_valid(spark, folder, as_of).collect()})
 
 
 def test_snapshot_age_and_choice(spark, tmp_path):
     folder = str(tmp_path / "s")
+    assert latest(spark, folder, 0) == []
     save(spark, folder, 1000)
     assert latest(spark, folder, 1000 + 7 * DAY) == [1000]
     assert latest(spark, folder, 1001 + 7 * DAY) == []
@@ -99,21 +118,29 @@ def test_snapshot_age_and_choice(spark, tmp_path):
     assert latest(spark, folder, 6000) == [5000]
     save(spark, folder, 7000)
     save(spark, folder, 7000, "{broken")
-    assert latest(spark, folder, 8000) == []
+    assert latest(spark, folder, 8000) == [5000]  # the newest readable one
+    save(spark, folder, 7500)
+    part = next(p for p in (tmp_path / "s" / "saved_at=7500").glob("part-*.parquet") if p.stat().st_size)
+    part.write_bytes(b"no parquet")
+    for crc in part.parent.glob(".*.crc"):
+        crc.unlink()
+    assert latest(spark, folder, 8000) == [5000]
 
 
 def test_snapshot_fallback_and_clear(spark, tmp_path):
     folder = str(tmp_path / "s")
     save(spark, folder, 1000)
-    saved = N.snapshot_latest_valid(N.snapshot_read(spark, folder), 2000)
+    saved = N.snapshot_latest_valid(spark, folder, 2000)
     missing = lambda: spark.read.parquet(str(tmp_path / "nothing"))
+    failing = lambda: saved.withColumn("data", F.raise_error(F.lit("lost while reading")))
     assert {r.source for r in N.snapshot_fallback(missing, saved).collect()} == {"snapshot"}
+    assert {r.source for r in N.snapshot_fallback(failing, saved).collect()} == {"snapshot"}
     assert {r.source for r in N.snapshot_fallback(lambda: saved, saved).collect()} == {"fresh"}
     N.snapshot_clear(spark, folder)
     assert latest(spark, folder, 2000) == []
     save(spark, folder, 3000)
     assert latest(spark, folder, 3000) == [3000]
-    expired = N.snapshot_latest_valid(N.snapshot_read(spark, folder), 3000 + 8 * DAY)
+    expired = N.snapshot_latest_valid(spark, folder, 3000 + 8 * DAY)
     with pytest.raises(Exception, match="could not load"):
         N.loaded_or_error(N.snapshot_fallback(missing, expired)).collect()
 
