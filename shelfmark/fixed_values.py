@@ -72,6 +72,7 @@ LINE_COMMENTS = r"//[^\n\r\x{2028}\x{2029}]*"
 SECRET_RULES = [
     ("service_key_word", r"(?i)service_role|SUPABASE_SERVICE", True),
     ("service_key_assigned", r"(?i)service_role[\"']?\s*[:=]|SERVICE_ROLE_KEY\s*[:=]", True),
+    ("service_key_assigned_raw", r"(?i)service_role[\"']?\s*[:=]|SERVICE_ROLE_KEY\s*[:=]", False),
     ("signed_token_header", r"eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9", False),
 ]
 

@@ -60,21 +60,35 @@ def _(s):
     return s.table("customer").join(rows, "c_mktsegment").groupBy("badge").agg(F.count(F.lit(1)).alias("n"))
 
 
+ABSENT = "table_never_made"
+
+
+def published(s):
+    """(table, n_files, n_bytes) of the table files that are really in the folder."""
+    files = S.object_manifest(s.spark, s.folder, "*.parquet")
+    table = F.regexp_extract("path", r"/([^/]+)\.parquet(?:/[^/]*)?$", 1)
+    return files.groupBy(table.alias("table")).agg(F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("n_bytes"))
+
+
 @query("catalog_checks", " union all ".join(
-    f"select '{t}' \"table\", true present, count(*) n_rows from {t}" for t in TABLES))
+    f"select '{t}' \"table\", true present" for t in TABLES) + f" union all select '{ABSENT}', false")
+def _(s):
+    """Which of the expected tables the folder holds; one is not there."""
+    return S.catalog_checks(published(s), [*TABLES, ABSENT])
+
+
+@query("object_manifest", " union all ".join(
+    f"select '{t}' \"table\", true has_bytes, count(*) n_rows from {t}" for t in TABLES))
 def _(s):
-    present = S.table_rows({t: s.table(t) for t in TABLES})
-    return S.catalog_checks(present, TABLES).join(present, "table").select("table", "present", "n_rows")
+    """The files of the given folder beside the rows of the tables they hold."""
+    counted = S.table_rows({t: s.table(t) for t in TABLES})
+    return published(s).join(counted, "table").select("table", (F.col("n_bytes") > 0).alias("has_bytes"), "n_rows")
 
 
-@query("object_manifest", """
-select regexp_extract(url, '://([^/]+)/', 1) bucket_id, min(page_id) first_object, count(*) n_objects,
-       cast(sum(strlen(html)) as bigint) n_bytes from pages group by 1""")
+@query("bucket_probe", """
+select regexp_extract(url, '://([^/]+)/', 1) bucket_id, min(page_id) first_object, count(*) n_objects from pages group by 1""")
 def _(s):
-    manifest = s.table("pages").select(F.regexp_extract("url", "://([^/]+)/", 1).alias("bucket_id"),
-                                       F.col("page_id").alias("name"), F.octet_length("html").alias("size"))
-    sizes = manifest.groupBy("bucket_id").agg(F.sum("size").alias("n_bytes"))
-    return S.bucket_probe(manifest).join(sizes, "bucket_id")
+    return S.bucket_probe(s.table("pages").select(F.regexp_extract("url", "://([^/]+)/", 1).alias("bucket_id"), F.col("page_id").alias("name")))
 
 
 # -- filters ---------------------------------------------------------------------------------------

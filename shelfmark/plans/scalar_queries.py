@@ -214,24 +214,57 @@ def _(s):
     return kinds.join(docs, "event_id", "left")
 
 
+PROBES = """select event_id, case when event_type = 'error' then 'relation "t' || user_id || '" does not exist'
+  when event_type = 'view' then 'invalid api KEY ' || user_id when event_type = 'click' then 'bad jwt'
+  else 'all well ' || user_id end m from events"""
+
+
+@query("classify_probe", f"""
+select event_id, case when regexp_matches(m, '(?i)relation .* does not exist|schema cache') then 'tables_missing'
+  when regexp_matches(m, '(?i)Invalid API key|JWT') then 'key_rejected' else m end kind from ({PROBES})""", views=False)
+def _(s):
+    kind, user = F.col("event_type"), F.col("user_id").cast("string")
+    message = F.when(kind == "error", F.concat(F.lit('relation "t'), user, F.lit('" does not exist'))) \
+        .when(kind == "view", F.concat(F.lit("invalid api KEY "), user)).when(kind == "click", F.lit("bad jwt")) \
+        .otherwise(F.concat(F.lit("all well "), user))
+    return s.table("events").select("event_id", X.classify_message(message, V.PROBE_MESSAGE_RULES).alias("kind"))
+
+
 @query("strip_tags", r"""
-select page_id, length(t) n_chars, md5(t) digest from
-  (select page_id, regexp_replace(html, '<script[^>]*>[\s\S]*?</script>', '', 'g') t from pages)""", views=False)
+select page_id, length(t) n_chars, md5(t) digest, length(u) n_offline, md5(u) offline_digest from
+  (select page_id, regexp_replace(html, '<script[^>]*>[\s\S]*?</script>', '', 'g') t,
+          regexp_replace(regexp_replace(h, '<script[^>]*src=[^>]*></script>', '', 'g'), '<link[^>]*href="https://fonts[^>]*>', '', 'g') u
+   from (select *, '<link rel="x" href="https://fonts.example/a.css"><script async src="a.js"></script>' || html h from pages))""", views=False)
 def _(s):
-    bare = s.table("pages").select("page_id", X.strip_tags("html").alias("t"))
-    return bare.select("page_id", F.length("t").cast("bigint").alias("n_chars"), F.md5(F.col("t").cast("binary")).alias("digest"))
+    """Pages without scripts, and pages with an external script and a font put in, without those."""
+    added = F.concat(F.lit('<link rel="x" href="https://fonts.example/a.css"><script async src="a.js"></script>'), F.col("html"))
+    bare = s.table("pages").select("page_id", X.strip_tags("html").alias("t"),
+                                   X.strip_tags(added, (V.EXTERNAL_SCRIPTS, V.FONT_LINKS)).alias("u"))
+    return bare.select("page_id", F.length("t").cast("bigint").alias("n_chars"), F.md5(F.col("t").cast("binary")).alias("digest"),
+                       F.length("u").cast("bigint").alias("n_offline"), F.md5(F.col("u").cast("binary")).alias("offline_digest"))
+
+
+ASSIGNED = r"(?i)service_role[\"'']?\s*[:=]|SERVICE_ROLE_KEY\s*[:=]"
 
 
 @query("secret_scan", rf"""
-with d as (select doc_id id, text from documents union all select page_id + 1000000000 id, html text from pages),
+with d as (select doc_id id, text from documents union all select page_id + 1000000000 id, html text from pages
+           union all select event_id + 2000000000, 'see http://x.example/ service_role = "' || user_id || '"' from events where event_type = 'error'
+           union all select event_id + 2000000000, 'service_role: ' || user_id from events where event_type = 'view'),
 c as (select id, text, regexp_replace(regexp_replace(text, '/\*[\s\S]*?\*/', '', 'g'), '{V.LINE_COMMENTS}', '', 'g') code from d)
 select id, 'token_assigned' rule from c where regexp_matches(code, '(?i)token\s*[:=]')
 union all select id, 'service_key_word' from c where regexp_matches(code, '(?i)service_role|SUPABASE_SERVICE')
+union all select id, 'service_key_assigned' from c where regexp_matches(code, '{ASSIGNED}')
+union all select id, 'service_key_assigned_raw' from c where regexp_matches(text, '{ASSIGNED}')
 union all select id, 'signed_token_header' from c where regexp_matches(text, 'eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9')""", views=False)
 def _(s):
+    """Documents, pages, and lines made of events: a key behind an address, which only the raw rule sees, and a plain one."""
     docs = s.table("documents").select(F.col("doc_id").alias("id"), "text")
     pages = s.table("pages").select((F.col("page_id") + 1000000000).alias("id"), F.col("html").alias("text"))
-    return secret_scan(docs.unionByName(pages), "text", "id", [*V.SECRET_RULES, TOKEN_RULE])
+    line = F.when(F.col("event_type") == "error", F.concat(F.lit('see http://x.example/ service_role = "'), "user_id", F.lit('"'))) \
+        .when(F.col("event_type") == "view", F.concat(F.lit("service_role: "), "user_id"))
+    lines = s.table("events").select((F.col("event_id") + 2000000000).alias("id"), line.alias("text")).where("text is not null")
+    return secret_scan(docs.unionByName(pages).unionByName(lines), "text", "id", [*V.SECRET_RULES, TOKEN_RULE])
 
 
 @query("near_match", r"""

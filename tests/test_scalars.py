@@ -99,7 +99,10 @@ def test_secret_scan_ignores_comments(spark):
     token = "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9"
     code = ["/* service_role */ ok", "a // service_role\nb", "service_role = 1", "x // " + token, "SERVICE_ROLE_KEY: y", "clean"]
     assert apply(spark, lambda v: X.secret_hits(v, X.strip_comments(v)), code) == [
-        [], [], ["service_key_word", "service_key_assigned"], ["signed_token_header"], ["service_key_word", "service_key_assigned"], []]
+        [], [], ["service_key_word", "service_key_assigned", "service_key_assigned_raw"], ["signed_token_header"],
+        ["service_key_word", "service_key_assigned", "service_key_assigned_raw"], []]
+    hidden = ["go to http://x/ service_role = 1", "// service_role: a"]
+    assert apply(spark, lambda v: X.secret_hits(v, X.strip_comments(v)), hidden) == [["service_key_assigned_raw"]] * 2
 
 
 def test_strip_tags_and_near(spark):
