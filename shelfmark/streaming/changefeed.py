@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from shelfmark.functions import labels as L
 from shelfmark.operators.keys import own_shuffle
-from shelfmark.operators.listing import category_menu
+from shelfmark.operators.listing import PAGE_SIZE, category_menu, in_active_category, item_position, menu_pages
 from shelfmark.schemas import CATEGORIES, ITEMS, CategoryCols, ItemCols
-from shelfmark.sources.versions import numbered
+from shelfmark.sources.versions import drop_folders, numbered
 
 DELETE = "delete"
+KEEP_BASES = 2        # bases kept, with the deltas after the older of them, for readers still at work
 
 
 def change_source(spark: SparkSession, folder: str, schema: StructType, pattern: str = "*.parquet",
@@ -62,6 +64,7 @@ def change_apply(changes: DataFrame, folder: str, checkpoint: str, key: str, ord
             after(batch.sparkSession.read.parquet(f"{folder}/delta/batch={batch_id}"), batch_id)
         if batch_id % compact_every == compact_every - 1:
             compact(batch.sparkSession, folder, key, order)
+            drop_old(batch.sparkSession, folder)
 
     writer = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
@@ -100,6 +103,15 @@ def compact(spark: SparkSession, folder: str, key: str, order: list[str]) -> int
     return last
 
 
+def drop_old(spark: SparkSession, folder: str, keep: int = KEEP_BASES) -> None:
+    """Remove bases but the last `keep`, and the deltas that the oldest base left holds."""
+    bases = numbered(spark, f"{folder}/base", "upto")
+    if len(bases) >= keep:
+        drop_folders(spark, f"{folder}/base", "upto", bases[:-keep])
+        held = [b for b in numbered(spark, f"{folder}/delta", "batch") if b <= bases[-keep]]
+        drop_folders(spark, f"{folder}/delta", "batch", held)
+
+
 def affected_categories(before: DataFrame, changes: DataFrame, i: ItemCols = ITEMS) -> DataFrame:
     """Old and new category of each changed item."""
     keys = changes.select(i.id).distinct()
@@ -115,36 +127,49 @@ def refresh_affected(after: DataFrame, categories: DataFrame, affected: DataFram
     return category_menu(items, categories, currency, i, c, **options)
 
 
-def menu_refresher(state: str, menu: str, categories: Callable[[SparkSession], DataFrame], order: list[str],
-                   i: ItemCols = ITEMS, c: CategoryCols = CATEGORIES, **options) -> Callable[[DataFrame, int], None]:
-    """Hook for ``change_apply``: after each batch writes the pages of the categories it affected.
+def menu_refresher(state: str, menu: str, order: list[str], i: ItemCols = ITEMS,
+                   page_size: int = PAGE_SIZE) -> Callable[[DataFrame, int], None]:
+    """Hook for ``change_apply``: after each batch writes the item pages of the categories it affected.
 
-    The items of those categories are written once and numbered from there, so the state is folded once
-    per batch. The list of categories comes last; until it is there, readers keep the older pages.
+    Only changes of the batch's items, and of items that ever were in an affected category, are folded: both are
+    found by semi-joins before the fold. Pages hold prices and badges as they are; what depends on categories or the
+    currency is added when the menu is read, so their changes need no pages anew. The list of categories comes
+    last; until it is there, readers keep the older pages.
     """
     def refresh(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
 
         def written(frame: DataFrame, name: str) -> DataFrame:
-            path = f"{menu}/{name}/batch={batch_id}"
+            path = f"{menu}/{name}"
             frame.write.mode("overwrite").parquet(path)
             return spark.read.parquet(path)
 
-        now = current_state(spark, state, i.id, order, upto=batch_id)
-        keys = batch.select(i.id)
-        seen = batch.select(i.category).unionByName(now.join(keys, i.id, "left_semi").select(i.category))
+        def folded(keys: DataFrame, upto: int) -> DataFrame:
+            log = spark.read.parquet(*_parts(spark, state, upto)[0])
+            return without_deleted(latest_per_key(log.join(keys, i.id, "left_semi").select(*log.columns), i.id, order))
+
+        keys = written(batch.select(i.id).distinct(), "work/keys")
+        seen = batch.select(i.category).unionByName(folded(keys, batch_id).select(i.category))
         if _parts(spark, state, batch_id - 1)[0]:
-            before = current_state(spark, state, i.id, order, upto=batch_id - 1)
-            seen = seen.unionByName(before.join(keys, i.id, "left_semi").select(i.category))
+            seen = seen.unionByName(folded(keys, batch_id - 1).select(i.category))
         affected = written(seen.where(F.col(i.category).isNotNull()).distinct(), "work/affected")
-        items = written(now.join(affected, i.category, "left_semi").select(*now.columns), "work/items")
-        written(category_menu(items, categories(spark), None, i, c, **options), "pages")
-        written(affected, "affected")
+        log = spark.read.parquet(*_parts(spark, state, batch_id)[0])
+        once_there = written(log.join(affected, i.category, "left_semi").select(i.id).distinct(), "work/candidates")
+        items = written(folded(once_there, batch_id).join(affected, i.category, "left_semi"), "work/items")
+        placed = item_position(items, i).withColumn("badge_label", L.display_badge(i.available, i.badge))
+        written(menu_pages(placed, [i.id, i.name, i.price, "badge_label"], i, page_size), f"pages/batch={batch_id}")
+        written(affected, f"affected/batch={batch_id}")
 
     return refresh
 
 
-def current_menu(spark: SparkSession, menu: str, i: ItemCols = ITEMS) -> DataFrame:
-    """Of each category the pages of the last batch that affected it; none, if it was left empty."""
+def current_menu(spark: SparkSession, menu: str, categories: DataFrame, currency=None, i: ItemCols = ITEMS,
+                 c: CategoryCols = CATEGORIES) -> DataFrame:
+    """The menu as it is now: of each active category the pages of the last batch that affected it, none if it was
+    left empty, with the categories and the currency of today."""
     newest = spark.read.parquet(f"{menu}/affected").groupBy(i.category).agg(F.max("batch").alias("batch"))
-    return spark.read.parquet(f"{menu}/pages").join(newest, [i.category, "batch"]).drop("batch")
+    pages = spark.read.parquet(f"{menu}/pages").join(newest, [i.category, "batch"]).drop("batch")
+    entry = F.transform("items", lambda x: F.struct(
+        x["pos"].alias("pos"), x[i.id].alias(i.id), x[i.name].alias(i.name),
+        L.format_price(x[i.price], currency).alias("price_label"), x["badge_label"].alias("badge_label")))
+    return in_active_category(pages.withColumn("items", entry), categories, i, c)
