@@ -28,33 +28,40 @@ PLACE = 20            # bits for the place of a pair in a word
 
 
 class Ranks(NamedTuple):
-    """The ranks as literals, and the pieces by rank.
+    """The ranks by piece, and as literals: of single bytes, of merges, and back to pieces and numbers in hexadecimal.
 
     Merges of token a with b stand in one array at shift[a] + b as a * 2**16 + rank, so that a pair is found by two
     reads. The shifts are such that no two merges share a place.
     """
-    pieces: list[bytes]
     of: dict[bytes, int]
     bytes: Column
     shift: Column
     merges: Column
+    spelled: Column
+    numbered: Column
 
 
-@cache
 def load(path: str) -> Ranks:
     """Ranks of a file with one base64 piece and its rank on each line. Ranks are 0, 1, 2 ... below 65,536."""
+    ranks, shift, merges = _tables(path)
+    pieces = sorted(ranks, key=ranks.get)
+    return Ranks(ranks, _literal([ranks[bytes([b])] for b in range(256)]), _literal(shift), _literal(merges),
+                 _literal([p.hex() for p in pieces], "string"), _literal([n.to_bytes(4, "little").hex() for n in range(len(pieces))], "string"))
+
+
+@cache
+def _tables(path: str) -> tuple[dict[bytes, int], list[int], list[int]]:
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
-    pieces = sorted(ranks, key=ranks.get)
-    if [ranks[p] for p in pieces] != list(range(len(pieces))) or len(pieces) >= 1 << 16:
+    if sorted(ranks.values()) != list(range(len(ranks))) or len(ranks) >= 1 << 16:
         raise ValueError("ranks must be 0, 1, 2 ... below 65536")
     after: dict[int, list[tuple[int, int]]] = {}
     for piece, rank in ranks.items():
         for i in range(1, len(piece)):
             if piece[:i] in ranks and piece[i:] in ranks:
                 after.setdefault(ranks[piece[:i]], []).append((ranks[piece[i:]], rank))
-    shift, merges = _placed(after, len(pieces))
-    return Ranks(pieces, ranks, _literal([ranks[bytes([b])] for b in range(256)]), _literal(shift.tolist()), _literal(merges.tolist()))
+    shift, merges = _placed(after, len(ranks))
+    return ranks, shift.tolist(), merges.tolist()
 
 
 def _placed(after: dict[int, list[tuple[int, int]]], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,9 +78,9 @@ def _placed(after: dict[int, list[tuple[int, int]]], size: int) -> tuple[np.ndar
     return shift, merges
 
 
-def _literal(numbers: list[int]) -> Column:
+def _literal(values: list, kind: str = "bigint") -> Column:
     """An array that Spark folds to one literal when it plans."""
-    return F.from_json(F.lit(json.dumps(numbers)), "array<bigint>")
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
 
 
 def merged(word: Column, ranks: Ranks) -> Column:
@@ -246,31 +253,15 @@ def encode(docs: DataFrame, ranks: Ranks, pattern: str, text: str = "text", keep
 
 
 def decode(ids: Column, ranks: Ranks) -> Column:
-    """The bytes of ids: their pieces, one behind the other."""
-    pieces = ranks.pieces
-
-    @F.arrow_udf("binary")
-    def of(lists: pa.Array) -> pa.Array:
-        taken = pa.array(pieces, pa.binary()).take(lists.flatten())
-        ends = np.frombuffer(taken.buffers()[1], dtype=np.int32)[:len(taken) + 1]
-        return _slices(ends[_offsets(lists)], taken.buffers()[2])
-    return of(ids)
+    """The bytes of ids: their pieces, one behind the other; null ids give null."""
+    return _joined(ids, ranks.spelled)
 
 
-def packed(ids: Column) -> Column:
+def packed(ids: Column, ranks: Ranks) -> Column:
     """Ids as little-endian unsigned 32-bit integers."""
-    @F.arrow_udf("binary")
-    def of(lists: pa.Array) -> pa.Array:
-        flat = np.array(lists.flatten(), dtype="<u4")
-        return _slices(_offsets(lists) * 4, pa.py_buffer(flat.tobytes()))
-    return of(ids)
-
-
-def _offsets(lists: pa.ListArray) -> np.ndarray:
-    sizes = np.array(lists.value_lengths().fill_null(0), dtype=np.int32)
-    return np.concatenate([np.zeros(1, np.int32), np.cumsum(sizes, dtype=np.int32)])
+    return _joined(ids, ranks.numbered)
 
 
-def _slices(offsets: np.ndarray, values: pa.Buffer | None) -> pa.Array:
-    buffers = [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), values or pa.py_buffer(b"")]
-    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, buffers)
+def _joined(ids: Column, spelled: Column) -> Column:
+    """Binary pieces of ids joined; in hexadecimal digits, as Spark joins strings in one pass."""
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(spelled, i)), ""))

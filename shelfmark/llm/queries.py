@@ -185,6 +185,6 @@ def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document, and the bytes they decode to, as digests."""
     ranks = bpe.load(public_tokenizers.path(VOCABULARY))
     encoded = bpe.encode(read_table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN, keep=["doc_id"])
-    decoded = encoded.select("doc_id", F.size("_ids").cast("long").alias("n_tokens"), bpe.packed(F.col("_ids")).alias("ids"),
+    decoded = encoded.select("doc_id", F.size("_ids").cast("long").alias("n_tokens"), bpe.packed(F.col("_ids"), ranks).alias("ids"),
                              bpe.decode(F.col("_ids"), ranks).alias("bytes"))
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
