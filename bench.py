@@ -1,6 +1,6 @@
 """Time the headline queries on one folder of tables and print one JSON line.
 
-BENCH_SF_DIR names the folder, BENCH_CPUS the local threads. Every query runs in full into Spark's noop
+BENCH_SF_DIR names the folder, BENCH_CPUS the local threads, BENCH_WORK_DIR the folder to write to. Every query runs in full into Spark's noop
 sink: once to warm up, then BENCH_RUNS times, of which the median counts.
 """
 
@@ -34,6 +34,8 @@ def main():
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     builder = SparkSession.builder.master(f"local[{cpus}]").appName("bench") \
         .config("spark.ui.enabled", "false").config("spark.driver.memory", "8g")
+    if os.environ.get("BENCH_WORK_DIR"):
+        builder = builder.config("spark.checkpoint.dir", os.environ["BENCH_WORK_DIR"])
     for key, value in session_settings(cpus).items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()

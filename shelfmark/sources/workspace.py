@@ -1,5 +1,7 @@
 """Where jobs keep what they write."""
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from functools import cache
@@ -8,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def workspace(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local session without one gets a folder of its own."""
+    """The shared folder the cluster names; a local session without one gets a folder of its own until it ends."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
@@ -19,7 +21,9 @@ def workspace(spark: SparkSession) -> str:
 
 @cache
 def _local_folder(application: str) -> str:
-    return tempfile.mkdtemp(prefix=f"shelfmark-{application}-")
+    folder = tempfile.mkdtemp(prefix=f"shelfmark-{application}-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
