@@ -23,7 +23,9 @@ NEAR_BORDER = 1.10    # ... if their centroids are at most so many times as far
 PRUNE = 1.12          # a query reads lists up to so many times as far as the nearest
 DEGREE = 24           # neighbours of a centroid in the graph
 ENTRIES = 8           # centroids a walk starts from
-CELL = 4096           # vectors, or queries, of a list that one task compares
+CELL = 4096           # vectors, or queries, of a list in a cell
+CELLS = 32            # cells that one task compares
+SPARE = 8             # candidates beyond the wanted ones that are scored exactly
 
 
 def _split(sample: np.ndarray, members: np.ndarray, lists: int, rng: np.random.Generator) -> list[np.ndarray]:
@@ -91,22 +93,37 @@ def _lists_of(spark, graph: Graph, point: Column, ratio: float, most: int | None
     return of(point)
 
 
+def _best(qids: np.ndarray, vids: np.ndarray, scores: np.ndarray, keep: int) -> np.ndarray:
+    """Places of the `keep` best different vectors of each query."""
+    order = np.lexsort((vids, qids))
+    first = np.ones(len(order), dtype=bool)
+    first[1:] = (np.diff(qids[order]) != 0) | (np.diff(vids[order]) != 0)
+    order = order[first]
+    order = order[np.lexsort((vids[order], -scores[order], qids[order]))]
+    starts = np.flatnonzero(np.r_[True, np.diff(qids[order]) != 0]) if len(order) else np.zeros(0, int)
+    rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
+    return order[rank < keep]
+
+
 def _compare(keep: int):
-    """For some vectors and queries of a list: the `keep` best vectors of each query."""
+    """For some cells, each with vectors and queries of one list: the `keep` best vectors of each query."""
     def compare(key: tuple[pa.Scalar, ...], held: pa.Table, asked: pa.Table) -> pa.Table:
-        found: dict[str, list] = {"qid": [], "vid": []}
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if held.num_rows and asked.num_rows:
+            held, asked = held.sort_by([("cell", "ascending"), ("vid", "ascending")]), asked.sort_by("cell")
+            vectors, wanted = (np.array(t["vec"].combine_chunks().flatten()).reshape(t.num_rows, -1) for t in (held, asked))
             vids, qids = np.array(held["vid"], dtype=np.int64), np.array(asked["qid"], dtype=np.int64)
-            order = np.argsort(vids)
-            vids = vids[order]
-            matrix = np.array(held["vec"].combine_chunks().flatten()).reshape(len(vids), -1)[order]
-            wanted = np.array(asked["vec"].combine_chunks().flatten()).reshape(len(qids), -1)
-            for at in range(0, len(qids), 1024):
-                scores = wanted[at:at + 1024] @ matrix.T
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :keep]
-                found["qid"].append(np.repeat(qids[at:at + 1024], best.shape[1]))
-                found["vid"].append(vids[best].ravel())
-        return pa.table({name: np.concatenate(x) if x else np.zeros(0, np.int64) for name, x in found.items()})
+            cells, reads = np.array(held["cell"], dtype=np.int64), np.array(asked["cell"], dtype=np.int64)
+            for cell in np.intersect1d(cells, reads):
+                v, q = (slice(*np.searchsorted(x, [cell, cell + 1])) for x in (cells, reads))
+                for at in range(q.start, q.stop, 1024):
+                    block = slice(at, min(at + 1024, q.stop))
+                    scores = wanted[block] @ vectors[v].T
+                    best = np.argsort(-scores, axis=1, kind="stable")[:, :keep]
+                    found.append((np.repeat(qids[block], best.shape[1]), vids[v][best].ravel(), np.take_along_axis(scores, best, 1).ravel()))
+        qid, vid, score = (np.concatenate(x) for x in zip(*found))
+        best = _best(qid, vid, score, keep)
+        return pa.table({"qid": qid[best], "vid": vid[best], "score": score[best]})
     return compare
 
 
@@ -125,7 +142,11 @@ def _fit(table: DataFrame, n: int, dims: int) -> tuple[Graph, float]:
 
 
 def candidates(table: DataFrame, wanted: DataFrame, n: int, dims: int, keep: int) -> DataFrame:
-    """(qid, vid) pairs: for each list a query reads, the best vectors of each part of the list."""
+    """(qid, vid) pairs: the `keep` best vectors of the lists each query reads.
+
+    A cell is a part of a list with a part of the queries that read it, of about CELL rows either; a task compares
+    CELLS of them and keeps a query's best.
+    """
     graph, longest = _fit(table, n, dims)
     spark = table.sparkSession
     filled = F.sqrt(F.greatest(F.lit(longest) - V.inner_product("vec", "vec", F.lit(0.0)), F.lit(0.0)))
@@ -136,17 +157,23 @@ def candidates(table: DataFrame, wanted: DataFrame, n: int, dims: int, keep: int
     reads = stored(wanted.select(F.col("vid").alias("qid"), "vec", F.explode(_lists_of(spark, graph, goal, PRUNE, None)).alias("list")), "reads")
 
     def parts(rows: DataFrame, name: str) -> DataFrame:
-        count = rows.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias(name))
-        return F.broadcast(count)                          # one row for each of at most MAX_LISTS lists
-    held_parts, read_parts = parts(postings, "hs"), parts(reads, "rs")
-    left = postings.join(held_parts, "list").join(read_parts, "list") \
-        .withColumn("h", F.pmod(F.xxhash64("vid"), F.col("hs"))).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rs") - 1)))
-    right = reads.join(held_parts, "list").join(read_parts, "list") \
-        .withColumn("r", F.pmod(F.xxhash64("qid"), F.col("rs")).cast("int")).withColumn("h", F.explode(F.sequence(F.lit(0), F.col("hs") - 1)))
-    left = left.select("list", F.col("h").cast("int").alias("h"), "r", "vid", "vec")
-    right = right.select("list", "h", "r", "qid", "vec")
-    return left.groupBy("list", "h", "r").cogroup(right.groupBy("list", "h", "r")) \
-        .applyInArrow(_compare(keep), "qid long, vid long").distinct()
+        return rows.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias(name))
+    sizes = stored(parts(postings, "hs").join(parts(reads, "rs"), "list"), "cells")
+    cells = sizes.agg(F.sum(F.col("hs").cast("long") * F.col("rs"))).first()[0] or 1
+    sizes = F.broadcast(sizes)                             # one row for each of at most MAX_LISTS lists
+    cell = ((F.col("list").cast("long") * (1 << 20) + F.col("h")) * (1 << 20) + F.col("r")).alias("cell")
+    group = F.pmod(F.xxhash64("list", "h", "r"), F.lit(-(-cells // CELLS))).alias("group")
+
+    def dealt(rows: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        placed = rows.join(sizes, "list").withColumn(own, F.pmod(F.xxhash64(key), F.col(own + "s")).cast("int")) \
+            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other + "s") - 1)))
+        return placed.select(group, cell, key, "vec")
+    left, right = dealt(postings, "vid", "h", "r"), dealt(reads, "qid", "r", "h")
+    found = left.groupBy("group").cogroup(right.groupBy("group")).applyInArrow(_compare(keep + SPARE), "qid long, vid long, score double")
+    # a few more than asked for, as scores summed in another order may differ in the last bit
+    folded = found.groupBy("qid", "vid").agg(F.max("score").alias("score"))
+    best = Window.partitionBy("qid").orderBy(F.desc("score"), "vid")
+    return folded.withColumn("n", F.row_number().over(best)).where(F.col("n") <= keep + SPARE).select("qid", "vid")
 
 
 def search(df: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
