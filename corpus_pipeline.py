@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm import bpe, langid, mixing, simhash, substrings
-from shelfmark.llm.queries import LANGUAGES, VOCABULARY
+from shelfmark.llm.production import LANGUAGES, VOCABULARY
 from shelfmark.sources.tables import read_table
 from shelfmark.sources.workspace import stored
 

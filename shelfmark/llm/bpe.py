@@ -24,6 +24,7 @@ from shelfmark.sources.workspace import stored
 
 KNOWN = 1 << 20       # most frequent words that all tasks hold, at most
 LONG = 64             # bytes; longer words are merged with a heap, as the fold takes time by the square of the length
+TEXTS = 500           # texts whose ids are put together at once
 PLACE = 20            # bits for the place of a pair in a word
 
 
@@ -43,14 +44,13 @@ class Ranks(NamedTuple):
 
 def load(path: str) -> Ranks:
     """Ranks of a file with one base64 piece and its rank on each line. Ranks are 0, 1, 2 ... below 65,536."""
-    ranks, shift, merges = _tables(path)
-    pieces = sorted(ranks, key=ranks.get)
-    return Ranks(ranks, _literal([ranks[bytes([b])] for b in range(256)]), _literal(shift), _literal(merges),
-                 _literal([p.hex() for p in pieces], "string"), _literal([n.to_bytes(4, "little").hex() for n in range(len(pieces))], "string"))
+    ranks, *tables = _tables(path)
+    return Ranks(ranks, *[F.from_json(F.lit(text), f"array<{kind}>") for kind, text in tables])
 
 
 @cache
-def _tables(path: str) -> tuple[dict[bytes, int], list[int], list[int]]:
+def _tables(path: str) -> tuple:
+    """The ranks, and the arrays of `Ranks` as (type, JSON): Spark folds each to one literal when it plans."""
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
     if sorted(ranks.values()) != list(range(len(ranks))) or len(ranks) >= 1 << 16:
@@ -61,7 +61,11 @@ def _tables(path: str) -> tuple[dict[bytes, int], list[int], list[int]]:
             if piece[:i] in ranks and piece[i:] in ranks:
                 after.setdefault(ranks[piece[:i]], []).append((ranks[piece[i:]], rank))
     shift, merges = _placed(after, len(ranks))
-    return ranks, shift.tolist(), merges.tolist()
+    single = [ranks[bytes([b])] for b in range(256)]
+    spelled = [piece.hex() for piece in sorted(ranks, key=ranks.get)]
+    numbered = [n.to_bytes(4, "little").hex() for n in range(len(ranks))]
+    return (ranks, *[("bigint", json.dumps(x)) for x in (single, shift.tolist(), merges.tolist())],
+            *[("string", json.dumps(x)) for x in (spelled, numbered)])
 
 
 def _placed(after: dict[int, list[tuple[int, int]]], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,11 +82,6 @@ def _placed(after: dict[int, list[tuple[int, int]]], size: int) -> tuple[np.ndar
     return shift, merges
 
 
-def _literal(values: list, kind: str = "bigint") -> Column:
-    """An array that Spark folds to one literal when it plans."""
-    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
-
-
 def merged(word: Column, ranks: Ranks) -> Column:
     """Ids of a word given as UTF-8 bytes."""
     def ranked(token, place):
@@ -218,11 +217,13 @@ def _gather(known, ranks: dict[bytes, int]) -> Callable:
                     heaped = [merged_by_heap(w.encode(), ranks) for w in rare.filter(long).to_pylist()]
                     found = _filled(found, heaped)
                 every = pa.concat_arrays([held, found.cast(held.type)])
-                taken = every.take(codes)
-                words_before = np.concatenate([[0], np.cumsum(np.array(sizes))])
-                offsets = np.array(taken.offsets)[words_before].astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets - offsets[0]), taken.flatten())
-                yield pa.RecordBatch.from_arrays([kept, ids], ["kept", "ids"])
+                starts = np.concatenate([[0], np.cumsum(np.array(sizes))])
+                for at in range(0, len(sizes), TEXTS):
+                    part = starts[at:at + TEXTS + 1]
+                    taken = every.take(codes.slice(part[0], part[-1] - part[0]))
+                    offsets = np.array(taken.offsets)[part - part[0]].astype(np.int32)
+                    ids = pa.ListArray.from_arrays(pa.array(offsets - offsets[0]), taken.flatten())
+                    yield pa.RecordBatch.from_arrays([kept.slice(at, TEXTS), ids], ["kept", "ids"])
     return gather
 
 
@@ -243,6 +244,7 @@ def encode(docs: DataFrame, ranks: Ranks, pattern: str, text: str = "text", keep
     spark = docs.sparkSession
     columns = [c for c in docs.columns if c != text] if keep is None else keep
     shared = spark.sparkContext.broadcast(known_words(docs.select(F.col(text).alias("text")), ranks, pattern, known))
+    pa.default_memory_pool().release_unused()              # of the collected words
     kept = F.struct(F.lit(True).alias("_here"), *[F.col(f"`{c}`") for c in columns])
     lists = docs.select(kept.alias("kept"), words(F.col(text), pattern).alias("words"))
     kind = lists.schema["kept"].dataType.simpleString()

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm import bpe, chat, langid, mixing, simhash, spann, substrings, urls, vafile, warc
+from shelfmark.llm.production import LANGUAGES, VOCABULARY
 from shelfmark.sources.tables import read_table
 from shelfmark.sources.workspace import fresh_folder
 
@@ -109,9 +110,6 @@ def simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-LANGUAGES = ("en", "es", "de", "fr")
-
-
 @query("op8_language_id")
 def language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document from its text, its declared language and its source."""
@@ -177,9 +175,6 @@ def url_filters(spark: SparkSession, folder: str) -> DataFrame:
                          F.col("_verdict").alias("verdict"))
 
 
-VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-
-
 @query("op9_byte_bpe")
 def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document, and the bytes they decode to, as digests."""
