@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.operators.keys import own_shuffle
+from shelfmark.sources.workspace import stored
 
 _SEPARATORS = {
     "sentence": re.compile(r"(?<=[.!?])\s+|\n+"),
@@ -50,19 +51,18 @@ def _digests(text: Column, unit: str) -> Column:
     return of(text)
 
 
-def without(text: str, later: list[dict], unit: str, min_words: int) -> tuple[str, list[dict]]:
+def without(text: str, later: list[int], unit: str, min_words: int) -> tuple[str, list[dict]]:
     """The text without its repeated units, and the spans removed.
 
-    `later` names units by number and digest. Units next to each other are one passage; passages of under `min_words`
-    words stay.
+    `later` are numbers of units. Units next to each other are one passage; passages of under `min_words` words stay.
     """
     units = cut(text, unit)
-    marked = {(x["number"], x["high"], x["low"]) for x in later}
+    marked = set(later)
     spans: list[dict] = []
     words = 0
     run: list[Unit] = []
     for i, u in enumerate([*units, None]):
-        if u is not None and (i, u.high, u.low) in marked:
+        if u is not None and i in marked:
             run.append(u)
             words += u.words
             continue
@@ -82,24 +82,24 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     A unit's first occurrence is that in the document with the smallest id, and there the first; all later ones are
     repeats, in the same document too. Passages of neighbouring repeats with at least `min_words` words are removed.
-    Null ids rank after all others; rows with one id count as one document, and a unit that has the same place in
-    several of them stays in all. Null texts stay null. Without repeats a text stays as it is, to the character. All
-    other columns are kept, whatever their names; an empty table gives no rows.
+    Null ids rank after all others. Rows that share an id, or have none, are documents of their own, in the order of a
+    hash of their texts, and copies in that they are stored in. Null texts stay null. Without repeats a text stays as it
+    is, to the character. All other columns are kept, whatever their names; an empty table gives no rows.
 
-    Digests with (id, place) are grouped, folding before the shuffle; only digests found twice meet their occurrences
-    again, on a key of their own that the adaptive planner can split.
+    The documents are written once, with a number for each row. Digests with (id, row, place) are grouped, folding
+    before the shuffle; only digests found twice meet their occurrences again, on a key of their own that the adaptive
+    planner can split.
     """
-    places = docs.where(F.col(text).isNotNull()).select(
-        F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id")).alias("doc"),
-        F.explode(_digests(F.col(text), unit)).alias("unit")) \
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    doc = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash"),
+                   F.col("_row").alias("row"))
+    places = rows.where(F.col(text).isNotNull()).select(doc.alias("doc"), F.explode(_digests(F.col(text), unit)).alias("unit")) \
         .select("doc", F.col("unit.number").alias("number"), F.col("unit.high").alias("high"), F.col("unit.low").alias("low"))
-    firsts = places.groupBy("high", "low").agg(
-        F.min(F.struct("doc", "number")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    place = F.struct("doc", "number")
+    firsts = places.groupBy("high", "low").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     key = own_shuffle(F.struct("high", "low"))
-    later = places.withColumn("key", key).join(firsts.select(key.alias("key"), "first"), "key") \
-        .where(F.struct("doc", "number") > F.col("first"))
-    per_doc = later.groupBy("doc").agg(F.collect_list(F.struct("number", "high", "low")).alias("_later")) \
-        .withColumnRenamed("doc", "_doc")
+    later = places.withColumn("key", key).join(firsts.select(key.alias("key"), "first"), "key").where(place > F.col("first"))
+    per_row = later.groupBy(F.col("doc.row").alias("_row")).agg(F.collect_list("number").alias("_later"))
 
     @F.arrow_udf("struct<text:string,spans:array<struct<start:int,end:int>>>")
     def cleaned(texts: pa.Array, lists: pa.Array) -> pa.Array:
@@ -110,7 +110,6 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             rows.append({"text": whole, "spans": spans})
         return pa.array(rows, kind)
 
-    own = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"))
-    joined = docs.withColumn("_doc", own).join(per_doc, "_doc", "left").withColumn("_clean", cleaned(F.col(text), F.col("_later")))
+    joined = rows.join(per_row, "_row", "left").withColumn("_clean", cleaned(F.col(text), F.col("_later")))
     columns = [F.col("_clean.text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
     return joined.select(*columns, F.col("_clean.spans").alias("removed_spans"))

@@ -70,3 +70,15 @@ def test_lines_and_paragraphs(spark):
     for unit, wanted in (("line", ""), ("paragraph", "d  E f\na b c\n\n")):
         found = {r.doc_id: r.text for r in substrings.remove_repeats(docs, unit=unit, min_words=1).collect()}
         assert found == {1: rows[0][1], 2: wanted}
+
+
+def test_rows_without_an_id_of_their_own(spark):
+    """Copies and other rows that share an id, or have none: each passage stays once, in the row with the smallest id."""
+    other = "Here begins something else that has eleven words in its line."
+    rows = [(None, PASSAGE), (None, PASSAGE), (None, f"{other} {PASSAGE}"), (None, other), (4, PASSAGE), (4, PASSAGE), (4, "Short."), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = substrings.remove_repeats(docs).collect()
+    assert len(found) == len(rows)
+    assert sum("Another one follows" in (r.text or "") for r in found) == 1
+    assert sum(other in (r.text or "") for r in found) == 1
+    assert sorted(r.text for r in found if r.doc_id == 4) == ["", PASSAGE, "Short."]
