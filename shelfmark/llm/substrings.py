@@ -1,4 +1,4 @@
-"""Repeated passages: sentences and lines, hashed over all documents, of which only the first occurrence stays."""
+"""Repeated passages: sentences and whole lines, hashed over all documents, of which only the first occurrence stays."""
 
 import re
 from typing import NamedTuple
@@ -16,7 +16,7 @@ _SEPARATORS = {
     "line": re.compile(r"\n+"),
     "paragraph": re.compile(r"\n\s*\n\s*"),
 }
-_DIGEST = pa.struct([("number", pa.int32()), ("high", pa.int64()), ("low", pa.int64())])
+_DIGEST = pa.struct([("number", pa.int32()), ("high", pa.int64()), ("low", pa.int64()), ("whole", pa.bool_())])
 
 
 class Unit(NamedTuple):
@@ -27,6 +27,18 @@ class Unit(NamedTuple):
     low: int
 
 
+class Line(NamedTuple):
+    first: int   # its first unit
+    last: int    # the unit behind it
+    high: int
+    low: int
+
+
+def _digest(words: list[str]) -> tuple[int, int]:
+    digest = xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
+    return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
+
+
 def cut(text: str, unit: str = "sentence") -> list[Unit]:
     """The units of a text in order; those without words are left out.
 
@@ -36,39 +48,68 @@ def cut(text: str, unit: str = "sentence") -> list[Unit]:
     for end_of_unit, end in [*(m.span() for m in _SEPARATORS[unit].finditer(text)), (len(text), len(text))]:
         words = text[start:end_of_unit].lower().split()
         if words:
-            digest = xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
-            units.append(Unit(start, end, len(words), int.from_bytes(digest[:8], "big", signed=True),
-                              int.from_bytes(digest[8:], "big", signed=True)))
+            units.append(Unit(start, end, len(words), *_digest(words)))
         start = end
     return units
 
 
+def whole_lines(text: str, units: list[Unit], unit: str = "sentence") -> list[Line]:
+    """The lines that sentences make up; lines and paragraphs are whole by themselves.
+
+    A line of one sentence has its digest, and no sentence has the digest of a line of several.
+    """
+    lines, first = [], 0
+    for i, u in enumerate(units):
+        if unit == "sentence" and i + 1 < len(units) and "\n" not in text[u.start:u.end]:
+            continue
+        one = first == i
+        lines.append(Line(first, i + 1, *((u.high, u.low) if one else _digest(text[units[first].start:u.end].lower().split()))))
+        first = i + 1
+    return lines
+
+
+def _numbered(text: str, unit: str) -> list[dict]:
+    """Digests of a text: units by their number, then, numbered on, lines of several units."""
+    units = cut(text, unit)
+    lines = whole_lines(text, units, unit)
+    alone = {line.first for line in lines if line.last == line.first + 1}
+    return [{"number": i, "high": u.high, "low": u.low, "whole": i in alone} for i, u in enumerate(units)] \
+        + [{"number": len(units) + n, "high": x.high, "low": x.low, "whole": True} for n, x in enumerate(lines) if x.first not in alone]
+
+
 def _digests(text: Column, unit: str) -> Column:
-    @F.arrow_udf("array<struct<number:int,high:long,low:long>>")
+    @F.arrow_udf("array<struct<number:int,high:long,low:long,whole:boolean>>")
     def of(texts: pa.Array) -> pa.Array:
-        return pa.array([[{"number": i, "high": u.high, "low": u.low} for i, u in enumerate(cut(t or "", unit))]
-                         for t in texts.to_pylist()], pa.list_(_DIGEST))
+        return pa.array([_numbered(t or "", unit) for t in texts.to_pylist()], pa.list_(_DIGEST))
     return of(text)
 
 
-def without(text: str, later: list[int], unit: str, min_words: int) -> tuple[str, list[dict]]:
+def without(text: str, later: list[int], later_lines: list[int], unit: str, min_words: int) -> tuple[str, list[dict]]:
     """The text without its repeated units, and the spans removed.
 
-    `later` are numbers of units. Units next to each other are one passage; passages of under `min_words` words stay.
+    `later` are numbers of units found before, `later_lines` of those that are whole lines, and were one before. Lines go
+    whatever their length. Sentences next to each other are one passage, which goes from `min_words` words on.
     """
     units = cut(text, unit)
-    marked = set(later)
-    spans: list[dict] = []
-    words = 0
-    run: list[Unit] = []
-    for i, u in enumerate([*units, None]):
-        if u is not None and i in marked:
-            run.append(u)
-            words += u.words
+    lines = whole_lines(text, units, unit)
+    gone = {i for n in later_lines for i in ([n] if n < len(units) else range(*lines[n - len(units)][:2]))}
+    repeated = gone.union(later)
+    run: list[int] = []
+    for i in range(len(units) + 1):
+        if i < len(units) and i in repeated:
+            run.append(i)
             continue
-        if run and words >= min_words:
-            spans.append({"start": run[0].start, "end": run[-1].end})
-        run, words = [], 0
+        if sum(units[k].words for k in run) >= min_words:
+            gone.update(run)
+        run = []
+    spans: list[dict] = []
+    last = None
+    for i in sorted(gone):
+        if last is not None and i == last + 1:
+            spans[-1]["end"] = units[i].end
+        else:
+            spans.append({"start": units[i].start, "end": units[i].end})
+        last = i
     kept, at = [], 0
     for span in spans:
         kept.append(text[at:span["start"]])
@@ -81,7 +122,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """`docs` with the text cut down to first occurrences, and `removed_spans`, offsets into the original text.
 
     A unit's first occurrence is that in the document with the smallest id, and there the first; all later ones are
-    repeats, in the same document too. Passages of neighbouring repeats with at least `min_words` words are removed.
+    repeats, in the same document too. Every repeat of a whole line (or paragraph, if those are the units) is removed,
+    whatever its length; of sentences, passages of neighbouring repeats with at least `min_words` words are.
     Null ids rank after all others. Rows that share an id, or have none, are documents of their own, in the order of a
     hash of their texts, and copies in that they are stored in. Null texts stay null. Without repeats a text stays as it
     is, to the character. All other columns are kept, whatever their names; an empty table gives no rows.
@@ -94,22 +136,27 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     doc = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash"),
                    F.col("_row").alias("row"))
     places = rows.where(F.col(text).isNotNull()).select(doc.alias("doc"), F.explode(_digests(F.col(text), unit)).alias("unit")) \
-        .select("doc", F.col("unit.number").alias("number"), F.col("unit.high").alias("high"), F.col("unit.low").alias("low"))
+        .select("doc", "unit.*")
     place = F.struct("doc", "number")
-    firsts = places.groupBy("high", "low").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    firsts = places.groupBy("high", "low").agg(
+        F.min(place).alias("first"), F.min(F.when(F.col("whole"), place)).alias("first_line"), F.count(F.lit(1)).alias("n")).where("n > 1")
     key = own_shuffle(F.struct("high", "low"))
-    later = places.withColumn("key", key).join(firsts.select(key.alias("key"), "first"), "key").where(place > F.col("first"))
-    per_row = later.groupBy(F.col("doc.row").alias("_row")).agg(F.collect_list("number").alias("_later"))
+    later = places.withColumn("key", key).join(firsts.select(key.alias("key"), "first", "first_line"), "key") \
+        .where(place > F.col("first"))
+    line = F.col("whole") & (place > F.col("first_line"))
+    per_row = later.groupBy(F.col("doc.row").alias("_row")).agg(
+        F.collect_list("number").alias("_later"), F.collect_list(F.when(line, F.col("number"))).alias("_lines"))
 
     @F.arrow_udf("struct<text:string,spans:array<struct<start:int,end:int>>>")
-    def cleaned(texts: pa.Array, lists: pa.Array) -> pa.Array:
+    def cleaned(texts: pa.Array, lists: pa.Array, lines: pa.Array) -> pa.Array:
         kind = pa.struct([("text", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
         rows = []
-        for t, repeats in zip(texts.to_pylist(), lists.to_pylist()):
-            whole, spans = without(t, repeats, unit, min_words) if t is not None and repeats else (t, [])
+        for t, repeats, again in zip(texts.to_pylist(), lists.to_pylist(), lines.to_pylist()):
+            whole, spans = without(t, repeats, again, unit, min_words) if t is not None and repeats else (t, [])
             rows.append({"text": whole, "spans": spans})
         return pa.array(rows, kind)
 
-    joined = rows.join(per_row, "_row", "left").withColumn("_clean", cleaned(F.col(text), F.col("_later")))
+    joined = rows.join(per_row, "_row", "left") \
+        .withColumn("_clean", cleaned(F.col(text), F.col("_later"), F.col("_lines")))
     columns = [F.col("_clean.text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
     return joined.select(*columns, F.col("_clean.spans").alias("removed_spans"))

@@ -1,5 +1,8 @@
 """Repeated passages against brute force."""
 
+import collections
+import re
+
 from shelfmark.llm import substrings
 from shelfmark.llm.queries import QUERIES
 
@@ -82,3 +85,49 @@ def test_rows_without_an_id_of_their_own(spark):
     assert sum("Another one follows" in (r.text or "") for r in found) == 1
     assert sum(other in (r.text or "") for r in found) == 1
     assert sorted(r.text for r in found if r.doc_id == 4) == ["", PASSAGE, "Short."]
+
+
+def plain_with_lines(rows):
+    """{id: kept words}, lines and sentences found by splitting alone; ids differ."""
+    seen_lines, seen, out = set(), set(), {}
+    for doc_id, text in sorted(r for r in rows if r[1] is not None):
+        kept, run = [], []
+
+        def end_run():
+            if sum(len(words) for words, _ in run) < 10:
+                kept.extend(words for words, line_again in run if not line_again)
+            run.clear()
+        for line in re.split(r"\n+", text):
+            whole = tuple(line.lower().split())  # empty for a line without words
+            again = whole in seen_lines
+            seen_lines.add(whole)
+            for sentence in re.split(r"(?<=[.!?])\s+", line):
+                words = tuple(sentence.lower().split())
+                if not words:
+                    continue
+                if again or words in seen:
+                    run.append((words, again))
+                else:
+                    end_run()
+                    kept.append(words)
+                seen.add(words)
+        end_run()
+        out[doc_id] = [w for words in kept for w in words]
+    return out
+
+
+def test_no_whole_line_stays_twice(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()]
+    rows += [(10**6, "Terms apply.\nNew words stand here. A short one.\nTerms  APPLY."), (10**6 + 1, "A short one. Else.\nTerms apply."),
+             (10**6 + 2, "Else.\nA short one. Else.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.text for r in substrings.remove_repeats(docs).collect()}
+    assert found[10**6] == "Terms apply.\nNew words stand here. A short one.\n"
+    assert found[10**6 + 1] == "A short one. Else.\n" and found[10**6 + 2] == "Else.\n"
+    assert {i: t.lower().split() for i, t in found.items() if t is not None} == plain_with_lines(rows)
+    lines = {}
+    for i, t in rows:
+        for u in substrings.cut(t or "", "line"):
+            lines.setdefault((u.high, u.low), u.words)
+    left = collections.Counter((u.high, u.low) for t in found.values() for u in substrings.cut(t or "", "line"))
+    assert sum(n > 1 and d in lines for d, n in left.items()) == 0
