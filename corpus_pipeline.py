@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm import bpe, langid, mixing, simhash, substrings
 from shelfmark.llm.production import LANGUAGES, VOCABULARY
+from shelfmark.operators.keys import own_shuffle
 from shelfmark.sources.tables import read_table
 from shelfmark.sources.workspace import stored
 
@@ -20,17 +21,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the smallest id; rows that share it are one, the least.
+    """Of each class of near-duplicates the document with the smallest id; of rows in it that share it, the least.
 
     Documents without an id stay as long as their class has no document with one; such a class keeps one.
     """
     found = simhash.near_duplicates(docs.select("doc_id", "text"))
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))) \
-        .groupBy(F.struct("doc_id").alias("_id")).agg(F.collect_set("fp").alias("_prints"))
-    marked = docs.select(*COLUMNS).withColumn("_id", F.struct("doc_id")).withColumn("_fp", simhash.fingerprints(F.col("text")))
-    stay = marked.join(kept, "_id").where(F.array_contains("_prints", F.col("_fp")))
-    least = stay.groupBy("_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row"))
-    return least.select("_id.doc_id", "row.*")
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("fp", "root", "component_id").distinct() \
+        .select(own_shuffle(F.col("fp")).alias("_key"), "root", "component_id")
+    marked = docs.select(*COLUMNS).withColumn("_key", own_shuffle(simhash.fingerprints(F.col("text"))))
+    stay = marked.join(kept, "_key").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return stay.groupBy("root").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -130,7 +130,8 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4,
                     max_bits: int = MAX_BITS, seed: int = 42) -> DataFrame:
-    """One row per document: its id, fp (signed), and component_id, the smallest id reachable over linked fingerprints.
+    """One row per document: its id, fp (signed), component_id, the smallest id reachable over linked fingerprints, and
+    root, the smallest fingerprint so reachable, which names the class also where it has no id.
 
     Equal fingerprints are linked, those of texts without words (0) too. Null ids never are the smallest; a class of
     null ids only has a null component_id. Repeated rows each get a row. Other columns are left behind, whatever their
@@ -145,6 +146,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rooted = prints.join(classes, prints["fp"] == classes["node"], "left") \
         .select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id")).select(own_shuffle(F.col("root")).alias("key"), "component_id")
-    named = rooted.withColumn("key", own_shuffle(F.col("root"))).join(least, "key").select("fp", "component_id")
-    classed = named.select(own_shuffle(F.col("fp")).alias("key"), "component_id")
-    return marked.withColumn("key", own_shuffle(F.col("fp"))).join(classed, "key").select(doc_id, "fp", "component_id")
+    named = rooted.withColumn("key", own_shuffle(F.col("root"))).join(least, "key").select("fp", "component_id", "root")
+    classed = named.select(own_shuffle(F.col("fp")).alias("key"), "component_id", "root")
+    return marked.withColumn("key", own_shuffle(F.col("fp"))).join(classed, "key").select(doc_id, "fp", "component_id", "root")

@@ -100,3 +100,15 @@ def test_no_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.stored(stage(spark, docs, FOLDER), "empty-stage")
     assert docs.count() == 0
+
+
+def test_one_of_each_class_stays_without_ids(spark):
+    """Clean rows without an id, or with one id for different texts, are classes of their own."""
+    texts = [" ".join(hashlib.md5(f"{i} {n}".encode()).hexdigest()[:6] for n in range(40)) for i in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[2]), (3, texts[2]), (4, texts[3]), (4, texts[4]),
+            (4, texts[4]), (5, texts[5]), (6, texts[5])]
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = corpus_pipeline.near_dedup(spark, docs, FOLDER)
+    assert found.columns == COLUMNS
+    wanted = [(None, texts[0]), (None, texts[1]), (3, texts[2]), (4, texts[3]), (4, texts[4]), (5, texts[5])]
+    assert sorted(((r.doc_id, r.text) for r in found.collect()), key=str) == sorted(wanted, key=str)
