@@ -124,17 +124,18 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     A unit's first occurrence is that in the document with the smallest id, and there the first; all later ones are
     repeats, in the same document too. Every repeat of a whole line (or paragraph, if those are the units) is removed,
     whatever its length; of sentences, passages of neighbouring repeats with at least `min_words` words are.
-    Null ids rank after all others. Rows that share an id, or have none, are documents of their own, in the order of a
-    hash of their texts, and copies in that they are stored in. Null texts stay null. Without repeats a text stays as it
-    is, to the character. All other columns are kept, whatever their names; an empty table gives no rows.
+    Null ids rank after all others. Rows that share an id, or have none, are documents of their own: those without one
+    in the order of a hash of their texts, others and copies in that they are stored in. Null texts stay null. Without
+    repeats a text stays as it is, to the character. All other columns are kept, whatever their names; an empty table
+    gives no rows.
 
     The documents are written once, with a number for each row. Digests with (id, row, place) are grouped, folding
     before the shuffle; only digests found twice meet their occurrences again, on a key of their own that the adaptive
     planner can split.
     """
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    doc = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash"),
-                   F.col("_row").alias("row"))
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows", "zstd")
+    doc = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"),
+                   F.when(F.col(doc_id).isNull(), F.xxhash64(text)).alias("hash"), F.col("_row").alias("row"))
     places = rows.where(F.col(text).isNotNull()).select(doc.alias("doc"), F.explode(_digests(F.col(text), unit)).alias("unit")) \
         .select("doc", "unit.*")
     place = F.struct("doc", "number")

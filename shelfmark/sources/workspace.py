@@ -30,11 +30,12 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{workspace(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """The rows of `df`, written as Parquet and read again, so that what follows doesn't compute them anew.
 
-    The plan behind them is cut off: a lost executor costs no more than the tasks that ran on it.
+    The plan behind them is cut off: a lost executor costs no more than the tasks that ran on it. `compression` is the
+    session's unless given.
     """
     folder = fresh_folder(df.sparkSession, name)
-    df.write.parquet(folder)
+    df.write.parquet(folder, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
