@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe, chat, langid, mixing, simhash, spann, substrings, urls, vafile, warc
+from shelfmark.llm import bpe, chat, langid, merkle, mixing, simhash, spann, substrings, urls, vafile, warc
 from shelfmark.llm.production import LANGUAGES, VOCABULARY
 from shelfmark.sources.tables import read_table
 from shelfmark.sources.workspace import fresh_folder
@@ -22,6 +22,16 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+# CRC-32 of a decimal number, which DuckDB has no function for: the byte table by rule, then one step for each digit.
+CRC_TABLE_SQL = """(select list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)),
+  lambda v, k: case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end)) crc_table)"""
+
+
+def crc32_sql(number: str) -> str:
+    digits = f"list_transform(string_split({number}::varchar, ''), lambda x: ascii(x)::bigint)"
+    return f"xor(list_reduce(list_concat([4294967295::bigint], {digits}), lambda a, b: xor(a >> 8, crc_table[1 + (xor(a, b) & 255)])), 4294967295)"
+
+
 @query("op4_source_mixing", r"""
 with sized as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint size from documents),
 src as (select source, sum(size)::bigint source_size from sized group by source),
@@ -183,3 +193,71 @@ def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     decoded = encoded.select("doc_id", F.size("_ids").cast("long").alias("n_tokens"), bpe.packed(F.col("_ids"), ranks).alias("ids"),
                              bpe.decode(F.col("_ids"), ranks).alias("bytes"))
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+LEAF_COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
+TREE_LEVELS = 16        # of the SQL alone, which writes each level out: 3 ** 16 rows for each source
+
+
+def _leaf_sql(**instead: str) -> str:
+    fields = [f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in (f"({instead.get(c, c)})::varchar" for c in LEAF_COLUMNS)]
+    return "sha256(" + " || ".join(fields) + ")"
+
+
+def _levels_sql(name: str, first: str) -> str:
+    """Levels of trees as tables name0, name1 ...: each has tree, i, d and n, the nodes of its tree."""
+    levels = [f"{name}0 as materialized ({first})"]
+    for k in range(TREE_LEVELS):
+        levels.append(f"{name}{k + 1} as materialized (select *, count(*) over (partition by tree) n from (select tree, i // 3 i, "
+                      f"sha256(string_agg(d, '' order by i)) d from {name}{k} where n > 1 group by tree, i // 3))")
+    return ",\n".join(levels)
+
+
+def _runs_sql(name: str, at: int) -> str:
+    return " union all ".join(f"select {at + k} step, '{name}' of, {3 ** k} wide, tree, i // 3 run, list(d order by i) ds from {name}{k} where n > 1 group by all"
+                              for k in range(TREE_LEVELS))
+
+
+def _root_sql(name: str) -> str:
+    return " union all ".join(f"select tree, d from {name}{k} where n = 1" for k in range(TREE_LEVELS + 1))
+
+
+@query("op11_merkle_manifest", f"""
+with recursive leaves as materialized (
+  select row_number() over () r, doc_id, source, {_leaf_sql()} leaf,
+         case when {crc32_sql("doc_id")} % 2 = 0 then {_leaf_sql(text="replace(text, chr(10), '')")} else {_leaf_sql()} end seen
+  from documents, {CRC_TABLE_SQL}),
+placed as materialized (select *, coalesce('x' || source, '') tree, row_number() over (partition by source order by doc_id nulls first, leaf, r) - 1 place from leaves),
+{_levels_sql("low", "select tree, place i, leaf d, count(*) over (partition by tree) n from placed")},
+subroots as materialized (select tree, d subroot, row_number() over (order by tree) - 1 nr from ({_root_sql("low")})),
+{_levels_sql("top", "select 0 tree, nr i, subroot d, count(*) over () n from subroots")},
+root as materialized (select d root from ({_root_sql("top")})),
+runs as materialized ({_runs_sql("low", 0)}),
+tops as materialized ({_runs_sql("top", TREE_LEVELS)}),
+steps as materialized (
+  select r, row_number() over (partition by r order by step) nr, ds, own from (
+    select r, step, ds, (place // wide) % 3 own from placed p join runs u on u.tree = p.tree and u.run = place // wide // 3
+    union all
+    select r, step, ds, (s.nr // wide) % 3 from placed p join subroots s on s.tree = p.tree join tops u on u.run = s.nr // wide // 3)),
+proof as (select r, sha256(string_agg(array_to_string(list_concat(ds[1:own], ds[own + 2:]), ''), '' order by nr)) proof from steps group by r),
+fold as (select r, 0::bigint nr, seen d from placed
+         union all
+         select f.r, s.nr, sha256(array_to_string(list_concat(s.ds[1:s.own], [f.d], s.ds[s.own + 2:]), '')) from fold f join steps s on s.r = f.r and s.nr = f.nr + 1),
+ended as (select r, arg_max(d, nr) folded_root from fold group by r)
+select doc_id, leaf, subroot, root, coalesce(proof, sha256('')) proof_sha256, folded_root, folded_root = root verified
+from placed p join subroots s on s.tree = p.tree cross join root join ended e on e.r = p.r left join proof o on o.r = p.r
+""")
+def merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's leaf and proof in the manifest of all, and whether a tampered copy is found out."""
+    docs = read_table(spark, folder, "documents").select(*LEAF_COLUMNS)
+
+    def leaf(text):
+        return merkle.digest(*[merkle.field(text if c == "text" else F.col(c)) for c in LEAF_COLUMNS])
+    cut = F.replace("text", F.lit("\n"), F.lit(""))
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    tampered = F.when(even & F.contains("text", F.lit("\n")), leaf(cut))
+    made = merkle.build(docs, leaf(F.col("text")), F.col("source"), [F.col("doc_id")], [F.col("doc_id"), tampered.alias("tampered")])
+    proven = merkle.proofs(made, merkle.tree_tops(merkle.over_trees(made)))
+    found = proven.select("doc_id", "leaf", "top.subroot", "top.root", merkle.siblings_digest(F.col("path")).alias("proof_sha256"),
+                          merkle.folded(F.coalesce("tampered", "leaf"), F.col("path")).alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
