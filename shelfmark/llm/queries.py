@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe, chat, langid, merkle, mixing, simhash, spann, substrings, urls, vafile, warc
+from shelfmark.llm import bpe, chat, compression, langid, merkle, mixing, simhash, spann, substrings, urls, vafile, warc
 from shelfmark.llm.production import LANGUAGES, VOCABULARY
 from shelfmark.sources.tables import read_table
 from shelfmark.sources.workspace import fresh_folder
@@ -261,3 +261,20 @@ def merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     found = proven.select("doc_id", "leaf", "top.subroot", "top.root", merkle.siblings_digest(F.col("path")).alias("proof_sha256"),
                           merkle.folded(F.coalesce("tampered", "leaf"), F.col("path")).alias("folded_root"))
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+GOOD_FROM = 0.3         # the score from which a document is taken for good
+
+
+def held_out(doc_id: str):
+    """Every fifth id by its CRC-32; such rows teach nothing. Rows without an id are not held out."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+@query("op12_compression_quality")
+def compression_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document by the sizes its text has under two dictionaries."""
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    labels = read_table(spark, folder, "labels").where(~held_out("doc_id")).select("doc_id", F.col("quality").alias("label"))
+    judged = compression.score(docs, compression.fit(docs, labels))
+    return judged.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= GOOD_FROM).cast("int").alias("predicted"))
