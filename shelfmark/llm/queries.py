@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe, chat, compression, langid, merkle, mixing, simhash, spann, substrings, urls, vafile, warc
+from shelfmark.llm import bpe, chat, compression, langid, merkle, mixing, simhash, spann, substrings, trie, urls, vafile, warc
 from shelfmark.llm.production import LANGUAGES, VOCABULARY
 from shelfmark.sources.tables import read_table
 from shelfmark.sources.workspace import fresh_folder
@@ -278,3 +278,35 @@ def compression_quality(spark: SparkSession, folder: str) -> DataFrame:
     labels = read_table(spark, folder, "labels").where(~held_out("doc_id")).select("doc_id", F.col("quality").alias("label"))
     judged = compression.score(docs, compression.fit(docs, labels))
     return judged.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= GOOD_FROM).cast("int").alias("predicted"))
+
+
+@query("op13_conversation_trie", f"""
+with t as (select conv_id c, row_number() over (partition by conv_id order by turn nulls first, d) p, d, x from (
+             select conv_id, turn, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) d, coalesce(len(text), 0) x
+             from conversations where conv_id is not null)),
+cv as (select c, c - c % 100 b, {crc32_sql("c")} % 6 h, n from (select c, max(p) n from t group by c), {CRC_TABLE_SQL}),
+rebuilt as (select cv.c, p d, t.d turn, x from cv join t on t.c = b and p <= h
+            union all
+            select cv.c, least(h, coalesce(bn, 0)) + p - h, t.d, x from cv join t on t.c = cv.c and p > h left join (select c bc, n bn from cv) on bc = b),
+seq as (select cv.c, coalesce(list(turn order by d) filter (d is not null), []) s, coalesce(list(x order by d) filter (d is not null), []) xs
+        from cv left join rebuilt r on r.c = cv.c group by cv.c),
+pre as (select c, d, sha256(array_to_string(s[1:d], ',')) k, sha256(array_to_string(s[1:d - 1], ',')) up, case when d > 0 then xs[d] else 0 end x, len(s) = d ends
+        from (select *, unnest(range(0, len(s) + 1)) d from seq)),
+node as (select d, k, min(c) conv_id, count(*) n, any_value(x) x, any_value(up) up, coalesce(string_agg(c::varchar, ',' order by c) filter (ends), '') ends
+         from pre group by d, k),
+kids as (select d - 1 d, up k, count(*) n_children from node where d > 0 group by all),
+full_node as (select n.*, coalesce(n_children, 0) n_children from node n left join kids using (d, k)),
+below as (select a.d, a.k, sum((u.n - 1) * u.x) saved, sum(case when u.n_children = 0 then 1 else 0 end) n_leaves
+          from full_node u join pre a on a.c = u.conv_id and a.d <= u.d group by a.d, a.k)
+select f.conv_id, f.d::bigint depth, p.conv_id parent_conv_id, f.n n_convs, f.n_children::bigint n_children, n_leaves::bigint n_leaves, saved::bigint saved_tokens, sha256(f.ends) ends_sha256
+from full_node f join below using (d, k) left join node p on p.d = f.d - 1 and p.k = f.up
+""")
+def conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every prefix of the rebuilt conversations, with the conversations that share it and what sharing it saves."""
+    turns = trie.numbered_turns(read_table(spark, folder, "conversations"))
+    head = F.crc32(F.col("conv").cast("string").cast("binary")) % 6
+    made = trie.build(*trie.rebuilt(turns, F.col("conv") - F.col("conv") % 100, head, most=5))
+    ends = trie.end_digests(made.ends)
+    return made.nodes.join(ends, trie.KEY, "left").select(
+        F.col("conv").alias("conv_id"), "depth", F.col("parent").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves",
+        F.col("saved").alias("saved_tokens"), F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("ends_sha256"))
