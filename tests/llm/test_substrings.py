@@ -1,7 +1,11 @@
 """Repeated passages against brute force."""
 
 import collections
-import re
+import itertools
+import random
+
+import pytest
+from pyspark.sql import functions as F
 
 from shelfmark.llm import substrings
 from shelfmark.llm.queries import QUERIES
@@ -9,44 +13,76 @@ from shelfmark.llm.queries import QUERIES
 FOLDER = "/root/testdata/sf0.001"
 
 
-def plain(rows, unit="sentence", min_words=10):
-    """[(id, text, kept text)] by one walk over all documents in order."""
-    first = {}
-    for doc_id, text in sorted(((i, t) for i, t in rows if t is not None), key=lambda r: (r[0] is None, r[0] or 0)):
-        for n, u in enumerate(substrings.cut(text, unit)):
-            place = (doc_id is None, doc_id or 0, n)
-            first[u.high, u.low] = min(first.get((u.high, u.low), place), place)
-    out = []
-    for doc_id, text in rows:
+def pieces_of(text):
+    """Lines, each a list of sentences (start, end, words), by one walk over the characters."""
+    lines, line, start, i = [], [], 0, 0
+
+    def close(stop, end):
+        words = tuple(text[start:stop].lower().split())
+        if words:
+            line.append((start, end, words))
+    while i < len(text):
+        j = i
+        if text[i].isspace() and i and text[i - 1] in ".!?":
+            while j < len(text) and text[j].isspace():
+                j += 1
+        else:
+            while j < len(text) and text[j] == "\n":
+                j += 1
+        if j > i:
+            close(i, j)
+            if "\n" in text[i:j] and line:
+                lines.append(line)
+                line = []
+            start = j
+        i = max(j, i + 1)
+    close(len(text), len(text))
+    return [*lines, line] if line else lines
+
+
+def plain(rows, min_words=10):
+    """[(id, kept text, removed spans)] of (id, text) rows by one walk over all documents in order; null ids come last."""
+    seen, seen_lines = set(), set()
+    out = [(i, t, []) for i, t in rows]
+    for at in sorted(range(len(rows)), key=lambda n: (rows[n][0] is None, rows[n][0] or 0, n)):
+        doc_id, text = rows[at]
         if text is None:
-            out.append((doc_id, None))
             continue
-        units = substrings.cut(text, unit)
-        again = [(doc_id is None, doc_id or 0, n) > first[u.high, u.low] for n, u in enumerate(units)]
-        kept, at, i = "", 0, 0
-        while i < len(units):
-            j = i
-            while j < len(units) and again[j]:
-                j += 1
-            if j > i and sum(u.words for u in units[i:j]) >= min_words:
-                kept += text[at:units[i].start]
-                at = units[j - 1].end
-            i = max(j, i + 1)
-        out.append((doc_id, kept + text[at:]))
-    return sorted(out, key=str)
+        sentences = []                            # (start, end, number of words, repeated, in a line found before)
+        for line in pieces_of(text):
+            whole = tuple(w for _, _, words in line for w in words)
+            again = whole in seen_lines
+            for start, end, words in line:
+                sentences.append((start, end, len(words), again or words in seen, again))
+                seen.add(words)
+            seen_lines.add(whole)
+        gone = [again for *_, again in sentences]
+        for _, run in itertools.groupby(range(len(sentences)), lambda n: (not sentences[n][3]) * (n + 1)):
+            run = list(run)
+            if sentences[run[0]][3] and sum(sentences[n][2] for n in run) >= min_words:
+                for n in run:
+                    gone[n] = True
+        spans = []
+        for n, (start, end, *_) in enumerate(sentences):
+            if gone[n] and n and gone[n - 1]:
+                spans[-1] = (spans[-1][0], end)
+            elif gone[n]:
+                spans.append((start, end))
+        for start, end in reversed(spans):
+            text = text[:start] + text[end:]
+        out[at] = (doc_id, text, spans)
+    return out
+
+
+def spanned(row):
+    return (row.doc_id, row.text, [(s.start, s.end) for s in row.removed_spans])
 
 
 def test_query_equals_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()]
     result = QUERIES["op10_substring_dedup"](spark, FOLDER).collect()
-    texts = dict(rows)
-    assert sorted(((r.doc_id, r.text) for r in result), key=str) == plain(rows)
+    assert sorted(map(spanned, result), key=str) == sorted(plain(rows), key=str)
     assert any(r.removed_spans for r in result)
-    for r in result:
-        kept, at = "", 0
-        for s in r.removed_spans:
-            kept, at = kept + texts[r.doc_id][at:s.start], s.end
-        assert kept + texts[r.doc_id][at:] == r.text
 
 
 PASSAGE = "Many a word makes a sentence here. Another one follows it closely, as they do. A third ends the passage now."
@@ -56,11 +92,15 @@ def test_passages_inside_lines(spark):
     rows = [(1, f"Start of one {PASSAGE} End of one."), (2, f"Quite another begin. {PASSAGE} And it goes on."),
             (3, f"x\n{PASSAGE.upper()}\ny"), (4, "A third ends the passage now."), (5, "Clean and short. Nothing repeats."),
             (6, None), (7, ""), (None, PASSAGE), (8, PASSAGE + " " + PASSAGE), (9, "é" * 50_000 + ". " + PASSAGE), (9, "z")]
-    docs = spark.createDataFrame([(*r, "c", 0) for r in rows], "doc_id long, text string, unit string, key int")
+    names = ["unit", "key", "_row", "row", "kept", "clean", "later", "lines", "place", "_later", "a.b"]
+    docs = spark.createDataFrame([(*r, *names) for r in rows], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names)) \
+        .withColumn("removed_spans", F.lit(1)).coalesce(1)
     result = substrings.remove_repeats(docs)
-    assert result.columns == ["doc_id", "text", "unit", "key", "removed_spans"]
-    found = sorted(((r.doc_id, r.text) for r in result.collect()), key=str)
-    assert found == plain(rows)
+    assert result.columns == ["doc_id", "text", *names, "removed_spans"]
+    rows_found = result.collect()
+    assert all(list(r)[2:-1] == names for r in rows_found)
+    assert sorted(map(spanned, rows_found), key=str) == sorted(plain(rows), key=str)
+    found = sorted(((r.doc_id, r.text) for r in rows_found), key=str)
     kept = [t for _, t in found if t and "Another one follows it closely" in t]
     assert len(kept) == 1
     assert (4, "A third ends the passage now.") in found and (5, rows[4][1]) in found
@@ -87,35 +127,6 @@ def test_rows_without_an_id_of_their_own(spark):
     assert sorted(r.text for r in found if r.doc_id == 4) == ["", PASSAGE, "Short."]
 
 
-def plain_with_lines(rows):
-    """{id: kept words}, lines and sentences found by splitting alone; ids differ."""
-    seen_lines, seen, out = set(), set(), {}
-    for doc_id, text in sorted(r for r in rows if r[1] is not None):
-        kept, run = [], []
-
-        def end_run():
-            if sum(len(words) for words, _ in run) < 10:
-                kept.extend(words for words, line_again in run if not line_again)
-            run.clear()
-        for line in re.split(r"\n+", text):
-            whole = tuple(line.lower().split())  # empty for a line without words
-            again = whole in seen_lines
-            seen_lines.add(whole)
-            for sentence in re.split(r"(?<=[.!?])\s+", line):
-                words = tuple(sentence.lower().split())
-                if not words:
-                    continue
-                if again or words in seen:
-                    run.append((words, again))
-                else:
-                    end_run()
-                    kept.append(words)
-                seen.add(words)
-        end_run()
-        out[doc_id] = [w for words in kept for w in words]
-    return out
-
-
 def test_no_whole_line_stays_twice(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()]
     rows += [(10**6, "Terms apply.\nNew words stand here. A short one.\nTerms  APPLY."), (10**6 + 1, "A short one. Else.\nTerms apply."),
@@ -124,10 +135,16 @@ def test_no_whole_line_stays_twice(spark):
     found = {r.doc_id: r.text for r in substrings.remove_repeats(docs).collect()}
     assert found[10**6] == "Terms apply.\nNew words stand here. A short one.\n"
     assert found[10**6 + 1] == "A short one. Else.\n" and found[10**6 + 2] == "Else.\n"
-    assert {i: t.lower().split() for i, t in found.items() if t is not None} == plain_with_lines(rows)
-    lines = {}
-    for i, t in rows:
-        for u in substrings.cut(t or "", "line"):
-            lines.setdefault((u.high, u.low), u.words)
-    left = collections.Counter((u.high, u.low) for t in found.values() for u in substrings.cut(t or "", "line"))
-    assert sum(n > 1 and d in lines for d, n in left.items()) == 0
+    assert found == {i: t for i, t, _ in plain(rows)}
+    before = {tuple(line.lower().split()) for _, t in rows for line in (t or "").split("\n")} - {()}
+    left = collections.Counter(tuple(line.lower().split()) for t in found.values() for line in (t or "").split("\n"))
+    assert not [line for line, n in left.items() if n > 1 and line in before]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_random_texts(spark, seed):
+    rng = random.Random(seed)
+    parts = ["a", "B.", "c!", "one two three four five six seven eight nine ten.", "Σας", "\n", "\n\n", "  ", "\t", ". ", "\x1c", "\u2028", "?\n ", "é"]
+    rows = [(rng.choice([None, 1, 2, *range(100)]), "".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(0, 30)))) for _ in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert sorted(map(spanned, substrings.remove_repeats(docs).collect()), key=str) == sorted(plain(rows), key=str)
