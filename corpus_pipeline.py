@@ -34,10 +34,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages found before; a document of which nothing is left goes."""
+    """Texts without passages found before; a document of which nothing but white space is left goes."""
     found = substrings.remove_repeats(docs)
     cut = F.size("removed_spans") > 0
-    whole = found.where(~cut | (F.trim("text") != ""))
+    whole = found.where(~cut | F.rlike("text", F.lit(r"(?U)\S")))
     return whole.withColumn("n_chars", F.when(cut, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
