@@ -29,7 +29,7 @@ PLACE = 20            # bits for the place of a pair in a word
 
 
 class Ranks(NamedTuple):
-    """The ranks by piece, and as literals: of single bytes, of merges, and back to pieces and numbers in hexadecimal.
+    """The ranks by piece, and as literals: of single bytes and of merges.
 
     Merges of token a with b stand in one array at shift[a] + b as a * 2**16 + rank, so that a pair is found by two
     reads. The shifts are such that no two merges share a place.
@@ -38,19 +38,17 @@ class Ranks(NamedTuple):
     bytes: Column
     shift: Column
     merges: Column
-    spelled: Column
-    numbered: Column
 
 
 def load(path: str) -> Ranks:
     """Ranks of a file with one base64 piece and its rank on each line. Ranks are 0, 1, 2 ... below 65,536."""
     ranks, *tables = _tables(path)
-    return Ranks(ranks, *[F.from_json(F.lit(text), f"array<{kind}>") for kind, text in tables])
+    return Ranks(ranks, *[F.from_json(F.lit(text), "array<bigint>") for text in tables])
 
 
 @cache
 def _tables(path: str) -> tuple:
-    """The ranks, and the arrays of `Ranks` as (type, JSON): Spark folds each to one literal when it plans."""
+    """The ranks, and the arrays of `Ranks` as JSON: Spark folds each to one literal when it plans."""
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
     if sorted(ranks.values()) != list(range(len(ranks))) or len(ranks) >= 1 << 16:
@@ -62,10 +60,7 @@ def _tables(path: str) -> tuple:
                 after.setdefault(ranks[piece[:i]], []).append((ranks[piece[i:]], rank))
     shift, merges = _placed(after, len(ranks))
     single = [ranks[bytes([b])] for b in range(256)]
-    spelled = [piece.hex() for piece in sorted(ranks, key=ranks.get)]
-    numbered = [n.to_bytes(4, "little").hex() for n in range(len(ranks))]
-    return (ranks, *[("bigint", json.dumps(x)) for x in (single, shift.tolist(), merges.tolist())],
-            *[("string", json.dumps(x)) for x in (spelled, numbered)])
+    return (ranks, *map(json.dumps, (single, shift.tolist(), merges.tolist())))
 
 
 def _placed(after: dict[int, list[tuple[int, int]]], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,12 +153,14 @@ def _classed(kind: str) -> str:
 def words(text: Column, pattern: str) -> Column:
     """Matches of the tokenizer's pattern in a text, in order; none in a null text.
 
-    Texts with a code point that Java may class otherwise go through a pattern with the classes spelled out.
+    Texts with a code point that Java may class otherwise go through a pattern with the classes spelled out. Most texts
+    have none above the first range, which a test of one range finds out sooner.
     """
     letters, numbers = _classed(r"\p{L}"), _classed(r"\p{N}")
     spelled = pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^\s\p{{L}}\p{{N}}{letters}{numbers}]") \
         .replace(r"\p{L}+", rf"[\p{{L}}{letters}]+").replace(r"\p{N}+", rf"[\p{{N}}{numbers}]+")
-    found = F.when(F.rlike(text, F.lit(f"[{_java(_NEWER)}]")), F.regexp_extract_all(text, F.lit("(?U)" + spelled), F.lit(0))) \
+    odd = F.rlike(text, F.lit(rf"[^\x00-\x{{{_NEWER[0][0] - 1:X}}}]")) & F.rlike(text, F.lit(f"[{_java(_NEWER)}]"))
+    found = F.when(odd, F.regexp_extract_all(text, F.lit("(?U)" + spelled), F.lit(0))) \
         .otherwise(F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(0)))
     return F.coalesce(found, F.array().cast("array<string>"))
 
@@ -254,16 +251,32 @@ def encode(docs: DataFrame, ranks: Ranks, pattern: str, text: str = "text", keep
     return done.select(*[F.col(f"kept.`{c}`").alias(c) for c in columns], F.col("ids").alias("_ids"))
 
 
-def decode(ids: Column, ranks: Ranks) -> Column:
-    """The bytes of ids: their pieces, one behind the other; null ids give null."""
-    return _joined(ids, ranks.spelled)
+def _bounds(lists: pa.ListArray) -> np.ndarray:
+    """Where each list begins in the flat array, and where the last ends."""
+    return np.concatenate([[0], np.cumsum(np.array(pc.fill_null(pc.list_value_length(lists), 0)))]).astype(np.int64)
 
 
-def packed(ids: Column, ranks: Ranks) -> Column:
-    """Ids as little-endian unsigned 32-bit integers."""
-    return _joined(ids, ranks.numbered)
+def _parted(data: pa.Buffer, bounds: np.ndarray, lists: pa.ListArray) -> pa.Array:
+    """Binary values between the bounds of one buffer; null where the list is."""
+    whole = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(bounds), data])
+    return pc.if_else(lists.is_valid(), whole, pa.scalar(None, pa.large_binary())).cast(pa.binary())
 
 
-def _joined(ids: Column, spelled: Column) -> Column:
-    """Binary pieces of ids joined; in hexadecimal digits, as Spark joins strings in one pass."""
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(spelled, i)), ""))
+def decode(ids: Column, ranks: Ranks) -> Column:
+    """The bytes of ids: their binary pieces, one behind the other; null ids give null."""
+    pieces = pa.array(sorted(ranks.of, key=ranks.of.get), pa.large_binary())
+
+    @F.arrow_udf("binary")
+    def of(lists: pa.Array) -> pa.Array:
+        taken = pieces.take(lists.flatten())
+        ends = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset:taken.offset + len(taken) + 1]
+        return _parted(taken.buffers()[2], ends[_bounds(lists)].copy(), lists)
+    return of(ids)
+
+
+def packed(ids: Column) -> Column:
+    """Ids as little-endian unsigned 32-bit integers; null ids give null."""
+    @F.arrow_udf("binary")
+    def of(lists: pa.Array) -> pa.Array:
+        return _parted(pa.py_buffer(np.array(lists.flatten()).astype("<u4")), 4 * _bounds(lists), lists)
+    return of(ids)

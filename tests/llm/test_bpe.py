@@ -62,6 +62,16 @@ def test_odd_texts(spark, ranks, library, monkeypatch, known, long):
         assert bytes(r.back).decode() == text and r.ids == [r.n] and r.kept == "x"
 
 
+def test_decoding_of_odd_lists(spark, ranks):
+    lists = [None, [], [0], [5, 5], None, [50255, 0, 1000], []]
+    pieces = sorted(ranks.of, key=ranks.of.get)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "n int, ids array<int>").coalesce(1)
+    for r in df.select("n", bpe.decode(F.col("ids"), ranks).alias("b"), bpe.packed(F.col("ids")).alias("p")).collect():
+        x = lists[r.n]
+        assert (r.b, r.p) == (None, None) if x is None else (bytes(r.b), bytes(r.p)) == (b"".join(pieces[i] for i in x), struct.pack(f"<{len(x)}I", *x))
+    assert df.limit(0).select(bpe.decode(F.col("ids"), ranks)).count() == 0
+
+
 def test_empty_table(spark, ranks):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.encode(docs, ranks, public_tokenizers.PATTERN).count() == 0
