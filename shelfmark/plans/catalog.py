@@ -1,8 +1,8 @@
 """A stored catalog: reads as its readers see it, and writes as its owners make them.
 
-Every write reads the newest version of a table, plans the next one and writes it whole: many edits
-belong in one batch, and a steady trickle of them in ``streaming.changefeed``. A statement that breaks a
-rule fails while it is written, so its version never becomes visible.
+Every write reads the tables at the newest commit, plans the next state of one or more of them and writes those whole:
+many edits belong in one batch, and a steady trickle of them in ``streaming.changefeed``. A statement that breaks a rule
+fails while it is written, so its commit never becomes visible; one that changes several tables changes them at once.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,8 +14,8 @@ from shelfmark.functions import text as X
 from shelfmark.operators import access as A
 from shelfmark.operators import changes as C
 from shelfmark.operators import listing as R
+from shelfmark.sources import commits
 from shelfmark.sources import tables as S
-from shelfmark.sources import versions
 
 TABLES = {"categories": K.CATEGORIES_SCHEMA, "menu_items": K.ITEMS_SCHEMA,
           "cafe_info": K.INFO_SCHEMA, "admin_users": K.OWNERS_SCHEMA}
@@ -87,17 +87,21 @@ class NotAllowed(Exception):
 
 
 class Catalog:
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    """The newest commit at each call, or the one given for all calls."""
+
+    def __init__(self, spark: SparkSession, folder: str, commit: int | None = None):
+        self.spark, self.folder, self.commit = spark, folder, commit
+
+    def now(self) -> "Catalog":
+        """The catalog as it is now, for as long as it is read."""
+        return Catalog(self.spark, self.folder, self._version())
 
     # -- reads --
 
     def table(self, name: str) -> DataFrame:
-        """The newest version, or no rows where nothing was stored yet."""
-        path = f"{self.folder}/{name}"
-        if versions.latest_version(self.spark, path) is None:
-            return self.spark.createDataFrame([], TABLES[name])
-        return versions.read_version(self.spark, path)
+        """A table at the commit, or no rows where nothing was stored yet."""
+        found = commits.table_at(self.spark, self.folder, name, self._version())
+        return self.spark.createDataFrame([], TABLES[name]) if found is None else found
 
     def read(self, name: str, user_id: str | None = None) -> DataFrame:
         return A.visible_rows(name, self.table(name), self.table("admin_users"), user_id)
@@ -110,64 +114,72 @@ class Catalog:
 
     def menu(self, user_id: str | None = None) -> DataFrame:
         """Menu pages as one reader sees them."""
-        return R.category_menu(self.read("menu_items", user_id), self.read("categories", user_id), self.currency())
+        at = self.now()
+        return R.category_menu(at.read("menu_items", user_id), at.read("categories", user_id), at.currency())
 
     def listing(self, tab: str = V.ALL_TAB[0], user_id: str | None = None) -> DataFrame:
-        categories = self.read("categories", user_id)
-        rows = R.menu_listing(self.read("menu_items", user_id), categories, self.currency())
+        at = self.now()
+        categories = at.read("categories", user_id)
+        rows = R.menu_listing(at.read("menu_items", user_id), categories, at.currency())
         return R.tab_filter(rows, categories, tab)
 
     def tabs(self, user_id: str | None = None) -> DataFrame:
         return R.nav_tabs(self.read("categories", user_id))
 
     def owner_items(self, category: str | None = None, search: str = "") -> DataFrame:
-        found = R.owner_search(self.table("menu_items"), category, search)
-        return R.admin_listing(found, self.table("categories"), self.currency())
+        at = self.now()
+        found = R.owner_search(at.table("menu_items"), category, search)
+        return R.admin_listing(found, at.table("categories"), at.currency())
 
     def owner_categories(self) -> DataFrame:
-        return R.items_per_category(self.table("categories"), self.table("menu_items"))
+        at = self.now()
+        return R.items_per_category(at.table("categories"), at.table("menu_items"))
 
     def is_admin(self, user_id: str | None) -> bool:
         return user_id is not None and not self.table("admin_users").where(F.col("user_id") == user_id).isEmpty()
 
     # -- writes --
 
-    def seed(self, categories: DataFrame, items: DataFrame, info: DataFrame, as_of: Column) -> None:
-        """First load, safe to repeat. Item rows name their category by slug."""
-        base = {name: self._version(name) for name in ("categories", "cafe_info", "menu_items")}
+    def load(self, states: dict[str, DataFrame]) -> int:
+        """Whole tables as one commit, unchecked: a catalog taken over from elsewhere."""
+        return self._commit(states, self._version())
+
+    def seed(self, categories: DataFrame, items: DataFrame, info: DataFrame, as_of: Column) -> int:
+        """First load of three tables in one commit, safe to repeat. Item rows name their category by slug."""
+        at = self.now()
         with_id = categories.withColumn("id", row_id("slug")).withColumn("seq", F.col("sort_order"))
-        self._seeded("categories", base, C.insert_if_absent(self.table("categories"), with_id, "slug", "seq",
-                                                      self._defaults("categories", as_of)))
+        sections = C.insert_if_absent(at.table("categories"), with_id, "slug", "seq", self._defaults("categories", as_of))
         first = info.withColumn("seq", F.lit(1))
-        self._seeded("cafe_info", base, C.insert_if_absent(self.table("cafe_info"), first, "id", "seq",
-                                                     self._defaults("cafe_info", as_of)))
         named = with_row_ids(items, "slug", "name", "sort_order")
-        self._seeded("menu_items", base, C.seed_load(self.table("menu_items"), named, self.table("categories"),
-                                               defaults=self._defaults("menu_items", as_of)))
+        states = {"categories": sections,
+                  "cafe_info": C.insert_if_absent(at.table("cafe_info"), first, "id", "seq", self._defaults("cafe_info", as_of)),
+                  "menu_items": C.seed_load(at.table("menu_items"), named, sections, defaults=self._defaults("menu_items", as_of))}
+        kept = {name: at._enforced(name, state, state, state.columns, sections) for name, state in states.items()}
+        return self._commit(kept, at.commit)
 
     def insert(self, name: str, rows: DataFrame, user_id: str | None, as_of: Column) -> int:
         if not self._may(name, "insert", user_id):
             raise NotAllowed(f"new row violates the access rules of {name}")
-        base = self._version(name)
+        at = self.now()
         if "id" not in rows.columns:
-            rows = with_row_ids(rows, *rows.columns, salt=base)
-        target = self.table(name)
+            rows = with_row_ids(rows, *rows.columns, salt=at.commit)
+        target = at.table(name)
         fresh = C.new_rows(target, rows, self._defaults(name, as_of))
-        return self._checked(name, target.unionByName(fresh), fresh, TABLES[name].names, base)
+        return at._checked(name, target.unionByName(fresh), fresh, TABLES[name].names)
 
     def update(self, name: str, patches: DataFrame, user_id: str | None, as_of: Column) -> int | None:
         """Patch rows by id; the columns of `patches` are set. Someone else than an owner changes no rows."""
         if not self._may(name, "update", user_id):
             return None
-        base = self._version(name)
-        key, target = KEYS[name], self.table(name)
+        at = self.now()
+        key, target = KEYS[name], at.table(name)
         columns = [c for c in patches.columns if c != key]
 
         def patched(rows):
             return C.update_patch(rows, patches, key, columns, touch=("updated_at", as_of))
 
         hit = target.join(patches.select(key).distinct(), key, "left_semi").select(*target.columns)
-        return self._checked(name, patched(target), patched(hit), columns, base)
+        return at._checked(name, patched(target), patched(hit), columns)
 
     def set_availability(self, flags: DataFrame, user_id: str | None, as_of: Column) -> int | None:
         coerced = flags.select("id", F.coalesce("is_available", F.lit(False)).alias("is_available"))
@@ -176,35 +188,32 @@ class Catalog:
     def save_info(self, patch: DataFrame, user_id: str | None, as_of: Column) -> int:
         if not self._may("cafe_info", "insert", user_id):
             raise NotAllowed("new row violates the access rules of cafe_info")
-        base = self._version("cafe_info")
+        at = self.now()
         one = patch.withColumn("id", F.lit(1))
-        state = C.upsert(self.table("cafe_info"), one, "id", self._defaults("cafe_info", as_of),
+        state = C.upsert(at.table("cafe_info"), one, "id", self._defaults("cafe_info", as_of),
                          touch=("updated_at", as_of))
-        return self._checked("cafe_info", state, state, one.columns, base)
+        return at._checked("cafe_info", state, state, one.columns)
 
     def delete(self, name: str, keys: DataFrame, user_id: str | None, as_of: Column) -> int | None:
-        """Delete by id; items of a deleted category stay, without one."""
+        """Delete by id; items of a deleted category stay, without one, from the same commit on."""
         if not self._may(name, "delete", user_id):
             return None
-        base = self._version(name)
-        version = self._write(name, C.delete_rows(self.table(name), keys, KEYS[name]), base)
+        at = self.now()
+        states = {name: C.delete_rows(at.table(name), keys, KEYS[name])}
         if name == "categories":
-            # until this is written readers see items of an unknown category, which are shown as without one;
-            # a repeated delete frees what a failure left
-            base = self._version("menu_items")
-            self._write("menu_items", C.delete_set_null(self.table("menu_items"), keys, touch=("updated_at", as_of)), base)
-        return version
+            states["menu_items"] = C.delete_set_null(at.table("menu_items"), keys, touch=("updated_at", as_of))
+        return self._commit(states, at.commit)
 
     def grant(self, emails: DataFrame, users: DataFrame, full_name: str, as_of: Column) -> DataFrame:
         """Make users owners by address; returns what became of each address. Not open to readers or owners."""
-        base = self._version("admin_users")
+        at = self.now()
         outcomes = C.grant_outcomes(emails, users)
-        self._write("admin_users", C.grant_owner(self.table("admin_users"), outcomes, full_name, as_of), base)
+        self._write("admin_users", C.grant_owner(at.table("admin_users"), outcomes, full_name, as_of), at.commit)
         return outcomes
 
     def revoke(self, emails: DataFrame) -> int:
-        base = self._version("admin_users")
-        return self._write("admin_users", C.revoke_owner(self.table("admin_users"), emails), base)
+        at = self.now()
+        return self._write("admin_users", C.revoke_owner(at.table("admin_users"), emails), at.commit)
 
     # -- helpers --
 
@@ -215,27 +224,30 @@ class Catalog:
         fixed = {column: F.lit(value) for column, value in DEFAULTS.get(name, {}).items()}
         return {**fixed, "created_at": as_of, "updated_at": as_of}
 
-    def _version(self, name: str) -> int:
-        return versions.latest_version(self.spark, f"{self.folder}/{name}") or 0
+    def _version(self, name: str | None = None) -> int:
+        """Number of the commit that is read; tables share it."""
+        return commits.latest_commit(self.spark, self.folder) if self.commit is None else self.commit
 
-    def _seeded(self, name: str, base: dict[str, int], state: DataFrame) -> int:
-        """Write a state after a seed, which keeps every rule as all writes do."""
-        return self._checked(name, state, state, state.columns, base[name])
-
-    def _checked(self, name: str, state: DataFrame, changed: DataFrame, columns: list[str], base: int) -> int:
-        """Write a state whose changed rows keep every rule. Looked at are those rows and, for a unique
-        column that was set, the rows that share its values."""
-        references = {"category_id": (self.table("categories"), "id")} \
-            if name == "menu_items" and "category_id" in columns else {}
+    def _enforced(self, name: str, state: DataFrame, changed: DataFrame, columns: list[str],
+                  categories: DataFrame | None = None) -> DataFrame:
+        """A state whose changed rows keep every rule, or else fails when it is written. Looked at are those rows and,
+        for a unique column that was set, the rows that share its values."""
+        sections = self.table("categories") if categories is None else categories
+        references = {"category_id": (sections, "id")} if name == "menu_items" and "category_id" in columns else {}
         found = [C.constraint_check(changed, KEYS[name], row_checks(name), REQUIRED[name], references=references)]
         for column in UNIQUE[name]:
             if column in columns:
                 rivals = state.join(changed.select(column).distinct(), column, "left_semi")
                 found.append(C.constraint_check(rivals, KEYS[name], unique=[column]))
-        return self._write(name, C.enforce(state, R.union_all(found)), base)
+        return C.enforce(state, R.union_all(found))
+
+    def _checked(self, name: str, state: DataFrame, changed: DataFrame, columns: list[str]) -> int:
+        return self._write(name, self._enforced(name, state, changed, columns), self._version())
 
     def _write(self, name: str, state: DataFrame, base: int | None = None) -> int:
-        """Write the version after `base`, which was the newest before the state was planned. It fails if another
-        writer has made that version meanwhile, and so loses no write."""
-        version = None if base is None else base + 1
-        return versions.write_version(state, f"{self.folder}/{name}", CLUSTERED.get(name, []), version)
+        return self._commit({name: state}, self._version() if base is None else base)
+
+    def _commit(self, states: dict[str, DataFrame], base: int) -> int:
+        """Write the commit after `base`, on which the states were planned. It fails if another writer has made that
+        commit meanwhile, and so loses no write."""
+        return commits.write_commit(self.spark, self.folder, states, base, CLUSTERED)

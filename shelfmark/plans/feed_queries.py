@@ -5,13 +5,17 @@ from pyspark.sql import functions as F
 from shelfmark.fixed_values import SNAPSHOT_TTL_MS
 from shelfmark.operators import listing as R
 from shelfmark.operators.changes import delete_rows, update_patch
+from shelfmark.plans.catalog import KEYS, Catalog
+from shelfmark.plans.catalog import TABLES as CATALOG_TABLES
 from shelfmark.plans.read_queries import MENU_TEXT_SQL, flat_pages
 from shelfmark.plans.registry import query
-from shelfmark.plans.star import as_changes
+from shelfmark.plans.star import CREATED, NOW, as_changes
 from shelfmark.sources import snapshots as N
 from shelfmark.sources import tables as S
 from shelfmark.sources.workspace import fresh_folder, stored
+from shelfmark.streaming import catalog_feed as E
 from shelfmark.streaming import changefeed as G
+from shelfmark.streaming import counters as M
 
 AS_OF = 1_717_243_200_000
 ORDER = ["ts", "event_id"]
@@ -141,3 +145,98 @@ def _(s):
     after = update_patch(kept, changes.where("event_type <> 'error'"), "id", ["category_id", "price"])
     affected = G.affected_categories(before, changes)
     return flat_pages(G.refresh_affected(after, s.categories(), affected))
+
+
+# -- the catalog's own edits -----------------------------------------------------------------------
+
+FEED_TABLES = {name: CATALOG_TABLES[name] for name in ("categories", "menu_items", "cafe_info")}
+GONE = "brand-11"     # the category that an owner deletes
+MEASURES = {"n_items": F.lit(1).cast("long"), "n_available": F.col("is_available").cast("long"), "total_price": F.col("price")}
+
+
+def fitted(rows, name):
+    """Rows in a catalog table's schema; columns they don't have are null."""
+    return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                         for f in CATALOG_TABLES[name]])
+
+
+def edited_catalog(s):
+    """Brands and parts taken over as a catalog, then edited by its owner in five statements; and its feed's folder."""
+    spark, when = s.spark, F.lit(CREATED).cast("timestamp")
+    later = F.lit(NOW).cast("timestamp")
+    shop, feed = Catalog(spark, fresh_folder(spark, "shop")), fresh_folder(spark, "shop-feed")
+    one = s.brands().agg(F.lit(1).alias("id"), F.lit("ETB").alias("currency"), F.lit("Parts").alias("name"))
+    owner = one.select(F.lit("owner").alias("user_id"))
+    loaded = {"categories": s.brands(), "menu_items": s.parts(), "cafe_info": one}
+    dated = {name: fitted(rows.withColumn("updated_at", when), name) for name, rows in loaded.items()}
+    shop.load(dated | {"admin_users": fitted(owner, "admin_users")})
+    doubled = s.parts().where("id % 5 = 0").select(F.col("id").cast("string").alias("id"), (F.col("price") * 2).cast("decimal(10,2)").alias("price"))
+    shop.update("menu_items", doubled, "owner", later)
+    shop.delete("categories", s.brands().where(F.col("slug") == GONE).select("id"), "owner", later)
+    shop.delete("menu_items", s.parts().where("id % 7 = 0").select(F.col("id").cast("string").alias("id")), "owner", later)
+    fresh = s.brands().where(F.col("slug") != GONE).select(
+        F.concat(F.lit("new-"), "slug").alias("id"), F.col("id").alias("category_id"), "name", F.lit(1).cast("decimal(10,2)").alias("price"))
+    shop.insert("menu_items", fresh, "owner", later)
+    shop.save_info(one.select(F.lit("Renamed").alias("name")), "owner", later)
+    E.publish(spark, shop.folder, feed, FEED_TABLES, KEYS)
+    return shop, feed
+
+
+EDITED_SQL = """
+, gone as (select id from brand where slug = 'brand-11'),
+doubled as (select cast(id as varchar) id, category_id, id k, name, case when id % 5 = 0 then price * 2 else price end price from parts),
+freed as (select id, k, name, price, case when category_id in (select id from gone) then null else category_id end category_id from doubled),
+added as (select 'new-' || slug id, id category_id, name, 1.0 price from brand where slug <> 'brand-11'),
+final as (select id, category_id, name, cast(price as double) price from freed where k % 7 <> 0
+          union all select id, category_id, name, cast(price as double) from added)
+"""
+
+
+@query("catalog_feed", EDITED_SQL + """
+select 1 "commit", 'categories' tbl, id "key", 'insert' op, null::double old_price, null::double new_price, null old_category, null new_category from brand
+union all select 1, 'menu_items', cast(id as varchar), 'insert', null, cast(price as double), null, category_id from parts
+union all select 1, 'cafe_info', '1', 'insert', null, null, null, null
+union all select 2, 'menu_items', cast(p.id as varchar), 'update', cast(p.price as double), cast(p.price * 2 as double), category_id, category_id
+  from parts p where p.id % 5 = 0
+union all select 3, 'categories', id, 'delete', null, null, null, null from gone
+union all select 3, 'menu_items', id, 'update', cast(price as double), cast(price as double), category_id, null
+  from doubled where category_id in (select id from gone)
+union all select 4, 'menu_items', id, 'delete', cast(price as double), null, category_id, null from freed where k % 7 = 0
+union all select 5, 'menu_items', id, 'insert', null, cast(price as double), null, category_id from added
+union all select 6, 'cafe_info', '1', 'update', null, null, null, null""")
+def _(s):
+    """Every change of three tables, as it comes through the stream."""
+    _, feed = edited_catalog(s)
+    landed, checkpoint = fresh_folder(s.spark, "landed"), fresh_folder(s.spark, "landed-checkpoint")
+    E.feed_source(s.spark, feed, FEED_TABLES).writeStream.format("parquet").option("checkpointLocation", checkpoint) \
+        .trigger(availableNow=True).start(landed).awaitTermination()
+    item = F.col("menu_items")
+    return s.spark.read.parquet(landed).select(
+        F.col("commit").cast("int").alias("commit"), F.col("table").alias("tbl"), "key", "op",
+        item["old"]["price"].cast("double").alias("old_price"), item["new"]["price"].cast("double").alias("new_price"),
+        item["old"]["category_id"].alias("old_category"), item["new"]["category_id"].alias("new_category"))
+
+
+def replayed(s, after=None):
+    """State of the items after replaying the feed, two files a batch; `after(folder)` gives a hook."""
+    _, feed = edited_catalog(s)
+    state, checkpoint = fresh_folder(s.spark, "shop-state"), fresh_folder(s.spark, "shop-checkpoint")
+    items = E.of_table(E.feed_source(s.spark, feed, FEED_TABLES, files_per_batch=2), "menu_items")
+    G.change_apply(items, state, checkpoint, "id", E.ORDER, after=after and after(state)).awaitTermination()
+    return state
+
+
+@query("catalog_replay", EDITED_SQL + "select * from final")
+def _(s):
+    state = G.current_state(s.spark, replayed(s), "id", E.ORDER)
+    return state.select("id", "category_id", "name", F.col("price").cast("double").alias("price"))
+
+
+@query("maintained_counts", EDITED_SQL + """
+select category_id, count(*) n_items, count(*) n_available, cast(sum(cast(price as decimal(18,2))) as double) total_price from final group by category_id""")
+def _(s):
+    """Counts per category from signed deltas of the feed; rows without a category are the null group."""
+    counters = fresh_folder(s.spark, "counters")
+    replayed(s, lambda state: M.counter_keeper(state, counters, "id", E.ORDER, "category_id", MEASURES))
+    counts = M.current_counters(s.spark, counters, "category_id", list(MEASURES)).where("n_items <> 0")
+    return counts.withColumn("total_price", F.col("total_price").cast("double"))

@@ -1,5 +1,7 @@
 """A table as numbered version folders. A reader keeps its version; a writer adds the next one."""
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -40,24 +42,31 @@ def _marker(spark: SparkSession, folder: str, version: int):
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
-def write_version(df: DataFrame, folder: str, cluster_by: list[str] = (), version: int | None = None) -> int:
-    """Write the next version, or the one given; sorting inside files lets later scans skip row groups.
+@contextmanager
+def claim(spark: SparkSession, folder: str, version: int):
+    """Hold a number while its version is written.
 
-    A marker file claims the number first, which the file system makes for one caller only, so of two writers one
-    fails and no version is replaced. A write that fails gives its number back; one that was killed leaves its marker,
-    which `release` takes away.
+    A marker file claims it, which the file system makes for one caller only, so of two writers one fails and no version
+    is replaced. A write that fails gives its number back; one that was killed leaves its marker, which `release` takes
+    away.
     """
-    spark = df.sparkSession
-    version = (latest_version(spark, folder) or 0) + 1 if version is None else version
     fs, marker = _marker(spark, folder, version)
     if not fs.createNewFile(marker):
         raise VersionTaken(f"version {version} of {folder} is taken")
-    frame = df.sortWithinPartitions(*cluster_by) if cluster_by else df
     try:
-        frame.write.mode("overwrite").parquet(f"{folder}/version={version}")
+        yield
     except BaseException:
         fs.delete(marker, False)
         raise
+
+
+def write_version(df: DataFrame, folder: str, cluster_by: list[str] = (), version: int | None = None) -> int:
+    """Write the next version, or the one given; sorting inside files lets later scans skip row groups."""
+    spark = df.sparkSession
+    version = (latest_version(spark, folder) or 0) + 1 if version is None else version
+    frame = df.sortWithinPartitions(*cluster_by) if cluster_by else df
+    with claim(spark, folder, version):
+        frame.write.mode("overwrite").parquet(f"{folder}/version={version}")
     return version
 
 

@@ -70,7 +70,7 @@ def change_apply(changes: DataFrame, folder: str, checkpoint: str, key: str, ord
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def _parts(spark: SparkSession, folder: str, upto: int | None = None) -> tuple[list[str], int]:
+def parts(spark: SparkSession, folder: str, upto: int | None = None) -> tuple[list[str], int]:
     """Folders that make up the state (after one batch, if given), and the last batch in them."""
     def known(kind, prefix):
         return [n for n in numbered(spark, f"{folder}/{kind}", prefix) if upto is None or n <= upto]
@@ -83,7 +83,7 @@ def _parts(spark: SparkSession, folder: str, upto: int | None = None) -> tuple[l
 
 
 def latest_changes(spark: SparkSession, folder: str, key: str, order: list[str], upto: int | None = None) -> DataFrame:
-    paths, _ = _parts(spark, folder, upto)
+    paths, _ = parts(spark, folder, upto)
     if not paths:
         raise FileNotFoundError(f"no state in {folder}")
     return latest_per_key(spark.read.parquet(*paths), key, order)
@@ -96,7 +96,7 @@ def current_state(spark: SparkSession, folder: str, key: str, order: list[str],
 
 def compact(spark: SparkSession, folder: str, key: str, order: list[str]) -> int:
     """Fold base and deltas, tombstones included, into a new base; readers of the old one are not disturbed."""
-    paths, last = _parts(spark, folder)
+    paths, last = parts(spark, folder)
     target = f"{folder}/base/upto={last}"
     if target not in paths:  # a replayed batch finds its base already written
         latest_per_key(spark.read.parquet(*paths), key, order).write.mode("overwrite").parquet(target)
@@ -145,15 +145,15 @@ def menu_refresher(state: str, menu: str, order: list[str], i: ItemCols = ITEMS,
             return spark.read.parquet(path)
 
         def folded(keys: DataFrame, upto: int) -> DataFrame:
-            log = spark.read.parquet(*_parts(spark, state, upto)[0])
+            log = spark.read.parquet(*parts(spark, state, upto)[0])
             return without_deleted(latest_per_key(log.join(keys, i.id, "left_semi").select(*log.columns), i.id, order))
 
         keys = written(batch.select(i.id).distinct(), "work/keys")
         seen = batch.select(i.category).unionByName(folded(keys, batch_id).select(i.category))
-        if _parts(spark, state, batch_id - 1)[0]:
+        if parts(spark, state, batch_id - 1)[0]:
             seen = seen.unionByName(folded(keys, batch_id - 1).select(i.category))
         affected = written(seen.where(F.col(i.category).isNotNull()).distinct(), "work/affected")
-        log = spark.read.parquet(*_parts(spark, state, batch_id)[0])
+        log = spark.read.parquet(*parts(spark, state, batch_id)[0])
         once_there = written(log.join(affected, i.category, "left_semi").select(i.id).distinct(), "work/candidates")
         items = written(folded(once_there, batch_id).join(affected, i.category, "left_semi"), "work/items")
         placed = item_position(items, i).withColumn("badge_label", L.display_badge(i.available, i.badge))
