@@ -151,7 +151,7 @@ def _(s):
 
 FEED_TABLES = {name: CATALOG_TABLES[name] for name in ("categories", "menu_items", "cafe_info")}
 GONE = "brand-11"     # the category that an owner deletes
-MEASURES = {"n_items": F.lit(1).cast("long"), "n_available": F.col("is_available").cast("long"), "total_price": F.col("price")}
+MEASURES = {"n_items": "1L", "n_available": "cast(is_available as long)", "total_price": "price"}
 
 
 def fitted(rows, name):

@@ -31,7 +31,10 @@ def row_changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
 
 
 def feed_schema(tables: dict[str, StructType]) -> StructType:
-    images = [StructField(name, StructType([StructField("old", schema), StructField("new", schema)])) for name, schema in tables.items()]
+    images = []
+    for name, columns in tables.items():
+        row = StructType([StructField(c.name, c.dataType) for c in columns])  # an image that is absent has no values
+        images.append(StructField(name, StructType([StructField("old", row), StructField("new", row)])))
     return StructType([StructField("table", StringType()), StructField("key", StringType()), StructField("op", StringType()), *images])
 
 

@@ -7,20 +7,20 @@ A replayed batch replaces its own delta. Work grows with the batch and the log i
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.sources.versions import drop_folders, numbered
 from shelfmark.streaming.changefeed import KEEP_BASES, latest_per_key, parts, without_deleted
 
 
-def signed_deltas(before: DataFrame, after: DataFrame, group: str, measures: dict[str, Column]) -> DataFrame:
+def signed_deltas(before: DataFrame, after: DataFrame, group: str, measures: dict[str, str]) -> DataFrame:
     """(group, measures): sums over `after` less sums over `before`; groups where nothing changed are left out.
 
-    A null group is a group of its own; a null measure counts as 0.
+    Measures are SQL expressions over a row. A null group is a group of its own; a null measure counts as 0.
     """
     def signed(rows: DataFrame, sign: int) -> DataFrame:
-        return rows.select(F.col(group), *[(F.coalesce(m, F.lit(0)) * sign).alias(name) for name, m in measures.items()])
+        return rows.select(F.col(group), *[(F.coalesce(F.expr(m), F.lit(0)) * sign).alias(name) for name, m in measures.items()])
 
     sums = signed(after, 1).unionByName(signed(before, -1)).groupBy(group).agg(*[F.sum(name).alias(name) for name in measures])
     changed = F.lit(False)
@@ -30,7 +30,7 @@ def signed_deltas(before: DataFrame, after: DataFrame, group: str, measures: dic
 
 
 def counter_keeper(state: str, counters: str, key: str, order: list[str], group: str,
-                   measures: dict[str, Column], compact_every: int = 100) -> Callable[[DataFrame, int], None]:
+                   measures: dict[str, str], compact_every: int = 100) -> Callable[[DataFrame, int], None]:
     """Hook for ``change_apply``: after each batch writes its signed deltas."""
     def keep(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
