@@ -57,24 +57,45 @@ def copies(rate: Column, key: Column, seed: int) -> Column:
     return (whole + F.when(draw < rate - whole, 1).otherwise(0)).cast("long")
 
 
+RESULTS = ("_size", "_source_size", "_target", "_copies")
+
+
+def unused(columns: list[str], name: str) -> str:
+    """`name`, with underscores before it until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def draw_key(doc_id: Column, text: Column) -> Column:
+    """What a document is drawn by: its id and its text, so rows without an id, or that share one, draw each for itself."""
+    return F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit(""))))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 42,
         doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """`docs` with _size, _source_size, _target and _copies: how often the mix takes each document.
 
     Null texts have no words; null sources are one source, the last; repeated rows count as often as they occur, and
-    rows with one doc_id draw alike. An empty table gives no rows. All other columns are kept, whatever their names.
+    rows with one doc_id (or none) draw by their texts: only rows equal in both draw alike. An empty table gives no
+    rows. All other columns are kept, whatever their names; columns named like the four results are replaced by them.
     Documents keep their order on disk and aren't shuffled as long as Spark can broadcast the sources; beyond that
     its skew join splits a hot source.
     """
-    sized = docs.withColumn("_size", word_count(F.col(text)))
+    kept = docs.drop(*[c for c in docs.columns if c.lower() in RESULTS])
+    key, rate = unused(kept.columns, "_key"), unused(kept.columns, "_rate")
+    sized = kept.withColumn("_size", word_count(F.col(text)))
     targets = source_targets(sized.select(F.col(source).alias("source"), F.col("_size").alias("size")), weights, most)
-    named = stored(targets.select(F.struct(F.col("source").alias("key")).alias("_key"), F.col("source_size").alias("_source_size"),
-                                  F.col("target").alias("_target"), F.col("rate").alias("_rate")), "mix-targets")
-    joined = sized.withColumn("_key", F.struct(F.col(source).alias("key"))).join(named, "_key").drop("_key")
-    return joined.withColumn("_copies", copies(F.col("_rate"), F.col(doc_id), seed)).drop("_rate")
+    named = stored(targets.select(F.struct(F.col("source").alias("key")).alias(key), F.col("source_size").alias("_source_size"),
+                                  F.col("target").alias("_target"), F.col("rate").alias(rate)), "mix-targets")
+    joined = sized.withColumn(key, F.struct(F.col(source).alias("key"))).join(named, key).drop(key)
+    drawn = copies(F.col(rate), draw_key(F.col(doc_id), F.col(text)), seed)
+    return joined.withColumn("_copies", drawn).drop(rate)
 
 
 def repeat(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The mixed corpus itself: each document as often as `mix` takes it."""
+    copy = unused(mixed.columns, "_copy")
     taken = mixed.where("_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*columns)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*columns)

@@ -33,7 +33,7 @@ def crc32_sql(number: str) -> str:
 
 
 @query("op4_source_mixing", r"""
-with sized as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint size from documents),
+with sized as (select doc_id, source, md5(coalesce(text, '')) digest, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint size from documents),
 src as (select source, sum(size)::bigint source_size from sized group by source),
 weighed as (select source, source_size, 3 * source_size cap,
                    ([5, 2, 1])[1 + (row_number() over (order by source nulls last) - 1) % 3]::bigint w from src),
@@ -49,7 +49,7 @@ targets as (select source, source_size, case when cap <= lvl * w then cap::doubl
             from weighed, (select coalesce((select lvl from found), 0.0) lvl)),
 rated as (select doc_id, size, source_size, target,
                  case when source_size > 0 then least(target / source_size, 3.0) else 0.0 end rate,
-                 ('0x' || substr(md5('42:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint::double / 4503599627370496.0 draw
+                 ('0x' || substr(md5('42:' || coalesce(doc_id::varchar, '') || ':' || digest), 1, 13))::bigint::double / 4503599627370496.0 draw
           from sized s join targets t on s.source is not distinct from t.source)
 select doc_id, size, source_size, target,
        (size * (floor(rate)::bigint + case when draw < rate - floor(rate) then 1 else 0 end))::bigint taken

@@ -55,3 +55,24 @@ def test_copies_come_near_the_rate(spark):
     assert all(abs(m - rate) < 0.02 for m, rate in zip(means, (0, 0.3, 1, 2.75, 3)))
     limits = drawn.agg(*[F.min(c) for c in drawn.columns], *[F.max(c) for c in drawn.columns]).first()
     assert tuple(limits) == (0, 0, 1, 2, 3, 0, 1, 1, 3, 3)
+
+
+def test_rows_without_an_id_or_with_one_id_meet_the_target(spark):
+    rows = [(None, f"{i} " + "word " * (i % 40), "none") for i in range(3000)] + [(7, f"{i} " + "word " * (i % 40), "same") for i in range(3000)]
+    rows += [(i, "word " * 50, "rest") for i in range(1000)]
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    for r in mixed.groupBy("source").agg(F.sum(F.col("_size") * F.col("_copies")).alias("taken"), F.first("_target").alias("target")).collect():
+        assert abs(r.taken / r.target - 1) < 0.05
+
+
+def test_columns_named_like_the_operators_own(spark):
+    names = ["_key", "_rate", "_copy", "__key", "_SIZE", "_target", "source_size"]
+    rows = spark.createDataFrame([(i, "a b c", f"s{i % 2}") for i in range(50)], "doc_id long, text string, source string")
+    odd = rows.select("*", *[F.lit(f"mine {n}").alias(n) for n in names])
+    mixed = mixing.mix(odd)
+    kept = [n for n in names if n not in ("_SIZE", "_target")]
+    assert mixed.columns == ["doc_id", "text", "source", *kept, *mixing.RESULTS]
+    plain = {r.doc_id: r._copies for r in mixing.mix(rows).collect()}
+    for r in mixed.collect():
+        assert r._copies == plain[r.doc_id] and [r[n] for n in kept] == [f"mine {n}" for n in kept]
+    assert mixing.repeat(mixed, ["_copy", "_key"]).count() == sum(plain.values())
