@@ -1,11 +1,16 @@
 """Every registered query against its SQL, and properties every plan must have."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 from compare import duck, duck_rows, spark_rows
 
 from shelfmark.plans import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
+ROOT = Path(__file__).resolve().parents[1]
 
 
 @pytest.fixture(scope="module")
@@ -35,6 +40,13 @@ def test_entry_has_rows(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+@pytest.mark.parametrize("absent", ["tiktoken", "corpus_pipeline", "shelfmark.llm"])
+def test_catalog_queries_without_the_optional_part(absent):
+    code = f"import sys; sys.modules[{absent!r}] = None; import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries())"
+    found = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, check=True)
+    assert found.stdout.split() == [str(len(QUERIES)), "False"]
+
+
 def test_identity_of_the_catalog(spark):
     """Listed, uncategorised and hidden items together are all items."""
     from shelfmark.operators import listing as R
