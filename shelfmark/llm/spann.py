@@ -2,10 +2,13 @@
 
 Centroids come from a balanced splitting of a bounded sample. A vector goes to the lists of its nearest centroids, to
 several if it lies near their border. Centroids are found by a best-first walk over a graph of centroids that every
-task holds in memory; a query reads the lists whose centroid is not much farther than the nearest.
+task holds in memory; a query reads the lists whose centroid is not much farther than the nearest. How much is fitted on
+the sample, so that most of the nearest vectors of its queries lie in lists they read; a query whose lists hold too few
+vectors goes on to the next nearest lists.
 """
 
 import heapq
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +23,9 @@ PER_LIST = 200        # vectors a list is made for
 SAMPLE = 32_768       # vectors the centroids are fitted on, the first in the order of a hash of their ids
 REPLICAS = 4          # lists a vector goes to, at most
 NEAR_BORDER = 1.10    # ... if their centroids are at most so many times as far as the nearest
-PRUNE = 1.12          # a query reads lists up to so many times as far as the nearest
+ASKED = 256           # vectors of the sample that the ratio of a query's lists is fitted on
+REACHED = 0.95        # ... so that this share of their nearest in the sample is in the lists they read
+WALKED = 32           # centroids a walk looks around, at the fewest
 DEGREE = 24           # neighbours of a centroid in the graph
 ENTRIES = 8           # centroids a walk starts from
 CELL = 4096           # vectors, or queries, of a list in a cell
@@ -55,6 +60,7 @@ class Graph:
         apart = squares[:, None] - 2 * self.centroids @ self.centroids.T + squares[None]
         self.neighbours = np.argsort(apart, axis=1, kind="stable")[:, 1:DEGREE + 1]
         self.entries = np.unique(np.linspace(0, lists - 1, min(ENTRIES, lists)).astype(int))
+        self.ratio, self.sizes = 1.0, np.zeros(lists, dtype=np.int64)
 
     def near(self, point: np.ndarray, ratio: float, least: int) -> list[tuple[float, int]]:
         """Centroids up to `ratio` times as far as the nearest, nearest first; the walk sees `least` at the fewest."""
@@ -79,17 +85,47 @@ class Graph:
                     found.append(item)
         return sorted(x for x in found if x[0] <= ratio * best)
 
-
-def _lists_of(spark, graph: Graph, point: Column, ratio: float, most: int | None) -> Column:
-    """Array of the lists a point belongs to, or reads."""
+    def homes(self, point: np.ndarray) -> list[int]:
+        """Lists a vector goes to: the nearest, and others if it lies near their border."""
+        return [c for _, c in self.near(point, NEAR_BORDER, WALKED)[:REPLICAS]]
+
+    def read_by(self, point: np.ndarray, least: int) -> list[int]:
+        """Lists a query reads, nearest first: those up to the fitted ratio, and more until they hold `least` rows."""
+        lists = [c for _, c in self.near(point, self.ratio, WALKED)]
+        if self.sizes[lists].sum() < least:
+            known = set(lists)
+            rest = np.argsort(((self.centroids - point) ** 2).sum(1), kind="stable")
+            lists += [c for c in rest.tolist() if c not in known]
+            lists = lists[:int(np.searchsorted(np.cumsum(self.sizes[lists]), least)) + 1]
+        return lists
+
+    def fit_ratio(self, sample: np.ndarray, longest: float, k: int) -> None:
+        """The ratio up to which queries must read so that REACHED of their k nearest in the sample are found."""
+        raw = sample[:, :-1]
+        k = min(k, len(raw) - 1)
+        if k < 1:
+            return
+        scores = raw[:ASKED] @ raw.T
+        np.fill_diagonal(scores, -np.inf)
+        nearest = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+        homes = {j: self.homes(sample[j]) for j in np.unique(nearest).tolist()}
+        needed = []
+        for vector, found in zip(raw, nearest.tolist()):
+            goal = np.append(vector * np.sqrt(longest / (vector ** 2).sum()), 0.0)
+            far = np.sqrt(((self.centroids - goal) ** 2).sum(1))
+            needed += [far[homes[j]].min() / max(far.min(), 1e-300) for j in found]
+        self.ratio = float(np.quantile(needed, REACHED))
+
+
+def _lists_of(spark, graph: Graph, point: Column, lists: Callable[[Graph, np.ndarray], list[int]]) -> Column:
+    """Array of the lists that `lists` finds for a point."""
     shared = spark.sparkContext.broadcast(graph)           # at most MAX_LISTS centroids
-    least = 32
 
     @F.arrow_udf("array<int>")
     def of(points: pa.Array) -> pa.Array:
         size = shared.value.centroids.shape[1]
         matrix = np.array(points.flatten(), dtype=np.float64).reshape(-1, size)
-        return pa.array([[c for _, c in shared.value.near(row, ratio, least)[:most]] for row in matrix], pa.list_(pa.int32()))
+        return pa.array([lists(shared.value, row) for row in matrix], pa.list_(pa.int32()))
     return of(point)
 
 
@@ -127,8 +163,8 @@ def _compare(keep: int):
     return compare
 
 
-def _fit(table: DataFrame, n: int, dims: int) -> tuple[Graph, float]:
-    """The graph of centroids, and the largest squared length of any vector.
+def _fit(table: DataFrame, n: int, dims: int, k: int) -> tuple[Graph, float]:
+    """The graph of centroids with the ratio for queries, and the largest squared length of any vector.
 
     Points get one more component that brings all to the largest length: the largest inner product with a query, which
     has 0 there, is then the nearest point.
@@ -138,7 +174,9 @@ def _fit(table: DataFrame, n: int, dims: int) -> tuple[Graph, float]:
     chosen = table.where(drawn).select("vid", "vec").orderBy(F.xxhash64("vid"), "vid").limit(SAMPLE).toArrow()
     sample = np.array(chosen["vec"].combine_chunks().flatten()).reshape(-1, dims)
     sample = np.column_stack([sample, np.sqrt(np.maximum(longest - (sample ** 2).sum(1), 0))])
-    return Graph(sample, max(1, min(MAX_LISTS, n // PER_LIST, len(sample)))), longest
+    graph = Graph(sample, max(1, min(MAX_LISTS, n // PER_LIST, len(sample))))
+    graph.fit_ratio(sample, longest, k)
+    return graph, longest
 
 
 def candidates(table: DataFrame, wanted: DataFrame, n: int, dims: int, keep: int) -> DataFrame:
@@ -147,14 +185,19 @@ def candidates(table: DataFrame, wanted: DataFrame, n: int, dims: int, keep: int
     A cell is a part of a list with a part of the queries that read it, of about CELL rows either; a task compares
     CELLS of them and keeps a query's best.
     """
-    graph, longest = _fit(table, n, dims)
+    graph, longest = _fit(table, n, dims, keep)
     spark = table.sparkSession
     filled = F.sqrt(F.greatest(F.lit(longest) - V.inner_product("vec", "vec", F.lit(0.0)), F.lit(0.0)))
     point = F.concat("vec", F.array(filled))
     scale = F.sqrt(F.lit(longest) / V.inner_product("vec", "vec", F.lit(0.0)))
     goal = F.concat(F.transform("vec", lambda x: x * scale), F.array(F.lit(0.0)))
-    postings = stored(table.select("vid", "vec", F.explode(_lists_of(spark, graph, point, NEAR_BORDER, REPLICAS)).alias("list")), "postings")
-    reads = stored(wanted.select(F.col("vid").alias("qid"), "vec", F.explode(_lists_of(spark, graph, goal, PRUNE, None)).alias("list")), "reads")
+    homes = _lists_of(spark, graph, point, lambda g, x: g.homes(x))
+    postings = stored(table.select("vid", "vec", F.explode(homes).alias("list")), "postings")
+    for row in postings.groupBy("list").count().collect():  # at most MAX_LISTS rows
+        graph.sizes[row["list"]] = row["count"]
+    least = REPLICAS * (keep + SPARE)                      # postings, as copies of a vector may be among them
+    read = _lists_of(spark, graph, goal, lambda g, x: g.read_by(x, least))
+    reads = stored(wanted.select(F.col("vid").alias("qid"), "vec", F.explode(read).alias("list")), "reads")
 
     def parts(rows: DataFrame, name: str) -> DataFrame:
         return rows.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias(name))
@@ -180,7 +223,7 @@ def search(df: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id", vect
     """(query_id, rank, vec_id, score): about the k largest inner products of each query row with all other rows.
 
     `is_query` is a condition on the column `id`. Scores are exact, in double precision from the first component to
-    the last. Ties go to smaller ids; a query gets fewer than k rows only where its lists hold fewer. Rows without an
+    the last. Ties go to smaller ids; a query gets fewer than k rows only where there are fewer others. Rows without an
     id, and vectors that are null, empty, zero or hold a null or non-finite component take no part. All vectors must
     have one length, else the search fails with a message. Copies of a vector are indexed once. Extra columns are left
     behind; without usable rows the result is empty.

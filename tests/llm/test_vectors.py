@@ -129,3 +129,38 @@ def test_lists_are_balanced():
     parts = spann._split(np.random.default_rng(2).normal(size=(1000, 8)), np.arange(1000), 16, np.random.default_rng(0))
     assert sorted(np.concatenate(parts).tolist()) == list(range(1000))
     assert max(map(len, parts)) - min(map(len, parts)) <= 4
+
+
+def test_graph_reads_enough_rows():
+    """Lists go on beyond the ratio until they hold as many rows as asked for, or all are read."""
+    rng = np.random.default_rng(2)
+    sample = np.column_stack([rng.normal(size=(400, 5)), np.zeros(400)])
+    graph = spann.Graph(sample, 20)
+    point = np.append(rng.normal(size=5), 0.0)
+    graph.sizes[:] = 7
+    assert len(graph.read_by(point, 30)) >= 5
+    assert sorted(graph.read_by(point, 140)) == list(range(20)) == sorted(graph.read_by(point, 10_000))
+    graph.sizes[:] = 0
+    graph.sizes[3] = 50
+    assert 3 in graph.read_by(point, 50)
+
+
+def test_fitted_ratio_reaches_the_nearest():
+    """Queries that read up to the fitted ratio find about the share of their neighbours it was fitted for."""
+    rng = np.random.default_rng(6)
+    raw = rng.normal(size=(3000, 8))
+    raw /= np.sqrt((raw ** 2).sum(1, keepdims=True))
+    sample = np.column_stack([raw, np.zeros(3000)])
+    graph = spann.Graph(sample, 30)
+    graph.fit_ratio(sample, 1.0, 20)
+    graph.sizes[:] = 100
+    homes, found, read = [set(graph.homes(x)) for x in sample], [], []
+    for q in range(1000, 1100):
+        scores = raw @ raw[q]
+        scores[q] = -np.inf
+        lists = set(graph.read_by(sample[q], 1))
+        read.append(len(lists))
+        found += [bool(homes[j] & lists) for j in np.argsort(-scores)[:20]]
+    assert np.mean(found) >= 0.9
+    assert np.mean(read) < 15
+    graph.fit_ratio(sample[:1], 1.0, 20)                   # no neighbours: the ratio stays
