@@ -72,10 +72,10 @@ def _lettered(parts: DataFrame) -> DataFrame:
 def fit(labelled: DataFrame, url: str = "url", label: str = "label") -> PipelineModel | str:
     """A model of P(allow) from (url, label) rows, label `allow` or `block`; others are left out.
 
-    At most SAMPLE rows are learnt from. Their order is that of a hash and they are one partition, so that a repeated
+    At most SAMPLE different rows are learnt from; a row that repeats counts once. Their order is that of a hash and they are one partition, so that a repeated
     fit gives the same model. With labels of one kind that verdict is the model, without any `allow`.
     """
-    rows = labelled.where(F.col(label).isin("allow", "block")).select(F.col(url).alias("url"), F.col(label).alias("label"))
+    rows = labelled.where(F.col(label).isin("allow", "block")).select(F.col(url).alias("url"), F.col(label).alias("label")).distinct()
     sample = rows.orderBy(F.xxhash64("url"), "url", "label").limit(SAMPLE)
     kinds = [r.label for r in sample.select("label").distinct().orderBy("label").collect()]
     if len(kinds) < 2:

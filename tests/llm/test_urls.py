@@ -57,3 +57,11 @@ def test_odd_addresses(spark):
     assert urls.judge(rows.limit(0), URL_RULES, "allow").count() == 0
     assert urls.fit(rows.limit(0)) == "allow"
     assert urls.fit(rows.select("url", F.lit("block").alias("label"))) == "block"
+
+
+def test_repeated_addresses_dont_fill_the_sample(spark, monkeypatch):
+    """Each address comes 50 times: a sample as large as the different ones still has both labels."""
+    monkeypatch.setattr(urls, "SAMPLE", 6)
+    rows = [(f"http://{kind}{i}.net/{kind}", kind) for kind in ("allow", "block") for i in range(3)]
+    model = urls.fit(spark.createDataFrame(rows * 50, "url string, label string"))
+    assert not isinstance(model, str)
