@@ -1,14 +1,13 @@
-"""Byte-level BPE: distinct words are merged by higher-order functions over their bytes, texts are put together from them.
+"""Byte-level BPE: the distinct words of some texts at a time are merged together, texts are put together from them.
 
-A text is cut into pieces by the tokenizer's pattern, here called words. Most words of a text are among the corpus's
-most frequent ones, which are encoded once and sent to every task (at most KNOWN, of at most LONG bytes). The others
-are encoded once in each batch of texts. Both go through the same fold: the bytes of a word become ids, and the pair of
-neighbours with the lowest rank is merged until no pair has a rank. Ranks are a literal in the plan.
+A text is cut into pieces by the tokenizer's pattern, here called words. Each task encodes the distinct words of as many
+texts at once as have KNOWN words in all: the bytes of every word become ids, and in rounds over all of these words the pair of
+neighbours with the lowest rank in each is merged, until none has a rank. Texts and words don't leave their tasks, no word
+reaches the driver, and the ranks are a broadcast, not a part of the plan.
 """
 
 import base64
 import heapq
-import json
 from collections.abc import Callable, Iterator
 from functools import cache
 from typing import NamedTuple
@@ -20,35 +19,26 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.sources.workspace import stored
-
-KNOWN = 1 << 20       # most frequent words that all tasks hold, at most
-LONG = 64             # bytes; longer words are merged with a heap, as the fold takes time by the square of the length
-TEXTS = 500           # texts whose ids are put together at once
-PLACE = 20            # bits for the place of a pair in a word
+KNOWN = 1 << 20       # words, repeats included, of the texts whose words a task holds with their ids at once
+LONG = 64             # bytes; longer words are merged with a heap, as the rounds take time by the square of the length
+MERGED = 1 << 16      # distinct words merged in the same rounds
 
 
 class Ranks(NamedTuple):
-    """The ranks by piece, and as literals: of single bytes and of merges.
+    """The ranks by piece, and as arrays: of single bytes and of merges.
 
     Merges of token a with b stand in one array at shift[a] + b as a * 2**16 + rank, so that a pair is found by two
     reads. The shifts are such that no two merges share a place.
     """
     of: dict[bytes, int]
-    bytes: Column
-    shift: Column
-    merges: Column
+    bytes: np.ndarray
+    shift: np.ndarray
+    merges: np.ndarray
 
 
+@cache
 def load(path: str) -> Ranks:
     """Ranks of a file with one base64 piece and its rank on each line. Ranks are 0, 1, 2 ... below 65,536."""
-    ranks, *tables = _tables(path)
-    return Ranks(ranks, *[F.from_json(F.lit(text), "array<bigint>") for text in tables])
-
-
-@cache
-def _tables(path: str) -> tuple:
-    """The ranks, and the arrays of `Ranks` as JSON: Spark folds each to one literal when it plans."""
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
     if sorted(ranks.values()) != list(range(len(ranks))) or len(ranks) >= 1 << 16:
@@ -58,16 +48,14 @@ def _tables(path: str) -> tuple:
         for i in range(1, len(piece)):
             if piece[:i] in ranks and piece[i:] in ranks:
                 after.setdefault(ranks[piece[:i]], []).append((ranks[piece[i:]], rank))
-    shift, merges = _placed(after, len(ranks))
-    single = [ranks[bytes([b])] for b in range(256)]
-    return (ranks, *map(json.dumps, (single, shift.tolist(), merges.tolist())))
+    return Ranks(ranks, np.array([ranks[bytes([b])] for b in range(256)], np.int32), *_placed(after, len(ranks)))
 
 
 def _placed(after: dict[int, list[tuple[int, int]]], size: int) -> tuple[np.ndarray, np.ndarray]:
     """Shift of each token and the array of merges; tokens with the most merges are placed first."""
     span = 4 * max(size // 4, sum(map(len, after.values())))
     rng = np.random.default_rng(0)
-    shift, merges = np.zeros(size, dtype=np.int64), np.full(span + size, -1, dtype=np.int64)
+    shift, merges = np.zeros(size, dtype=np.int32), np.full(span + size, -1, dtype=np.int64)
     for token, pairs in sorted(after.items(), key=lambda x: (-len(x[1]), x[0])):
         seconds, ranks = (np.array(x) for x in zip(*pairs))
         at = int(rng.integers(span))
@@ -77,26 +65,34 @@ def _placed(after: dict[int, list[tuple[int, int]]], size: int) -> tuple[np.ndar
     return shift, merges
 
 
-def merged(word: Column, ranks: Ranks) -> Column:
-    """Ids of a word given as UTF-8 bytes."""
-    def ranked(token, place):
-        entry = F.get(ranks.merges, F.get(ranks.shift, token) + F.get(ids, place + 1))
-        return F.when(F.shiftright(entry, 16) == token, F.shiftleft(entry.bitwiseAND(0xFFFF), PLACE).bitwiseOR(place))
+def merged(words: pa.Array, ranks: Ranks) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words given as large binaries, one word's behind the other's, and how many each has.
 
-    def merge(best):
-        place = best.bitwiseAND((1 << PLACE) - 1).cast("int")
-        joined = F.concat(F.slice(ids, F.lit(1), place), F.array(F.shiftright(best, PLACE)), F.slice(ids, place + 3, F.lit(1 << PLACE)))
-        return F.when(best.isNull(), ids).otherwise(joined)
-
-    def step(state, _):
-        nonlocal ids
-        ids = state
-        # the lowest rank, and of its pairs the first; bound to a name by a one-element transform
-        return F.get(F.transform(F.array(F.array_min(F.transform(state, ranked))), merge), F.lit(0))
-
-    ids = None
-    start = F.transform(F.split(F.decode(word, "ISO-8859-1"), ""), lambda c: F.get(ranks.bytes, F.ascii(c)))
-    return F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), start, step).cast("array<int>")
+    A round merges, in every word that has a pair with a rank, the pair of the lowest rank, of these the first.
+    """
+    if not len(words):
+        return np.empty(0, np.int32), np.empty(0, np.int64)
+    bounds = np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + len(words) + 1]
+    text = np.frombuffer(words.buffers()[2] or b"", np.uint8)[bounds[0]:bounds[-1]]
+    found, alive = ranks.bytes[text], np.ones(len(text), bool)
+    ids, place, sizes = found, np.arange(len(text)), np.diff(bounds)     # of the words not done yet
+    sizes = sizes[sizes > 0]
+    while len(sizes):
+        ends = np.cumsum(sizes)
+        entry = ranks.merges[ranks.shift[ids] + np.append(ids[1:], 0)]
+        ranked = entry >> 16 == ids
+        ranked[ends - 1] = False                           # a word's last id has no neighbour
+        pairs = np.where(ranked, (entry & 0xFFFF) << 32, 1 << 62) + np.arange(len(ids))
+        best = np.minimum.reduceat(pairs, ends - sizes)
+        more = best < 1 << 62
+        at = best[more] & 0xFFFFFFFF
+        ids[at] = found[place[at]] = best[more] >> 32
+        alive[place[at + 1]] = False
+        stay = np.repeat(more, sizes)
+        stay[at + 1] = False
+        ids, place, sizes = ids[stay], place[stay], sizes[more] - 1
+    until = np.concatenate([[0], np.cumsum(alive)])
+    return found[alive], np.diff(until[bounds - bounds[0]])
 
 
 def merged_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -165,69 +161,38 @@ def words(text: Column, pattern: str) -> Column:
     return F.coalesce(found, F.array().cast("array<string>"))
 
 
-def known_words(texts: DataFrame, ranks: Ranks, pattern: str, most: int = KNOWN) -> pa.Table:
-    """(word, ids) of the words found most often: all that occur 2**k times or more, for the least k with at most `most`."""
-    counted = texts.select(F.explode(words(F.col("text"), pattern)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    often = stored(counted.where((F.col("n") > 1) & (F.octet_length("word") <= LONG))
-                   .select("word", F.floor(F.log2("n")).cast("int").alias("power")), "words")
-    total, least = 0, None
-    for row in often.groupBy("power").count().orderBy(F.desc("power")).collect():    # at most 63 rows
-        total += row["count"]
-        if total > most:
-            break
-        least = row["power"]
-    chosen = often.where(F.col("power") >= least) if least is not None else often.limit(0)
-    return chosen.repartition("word").select("word", merged(F.encode("word", "UTF-8"), ranks).alias("ids")).toArrow()
-
-
-def _split(known) -> Callable:
-    """Batches of texts' words -> one row for each batch, with a code for each word and the words that aren't known."""
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = known.value["word"].combine_chunks()
+def _ids(words: pa.Array, ranks: Ranks, long: int) -> pa.ListArray:
+    """Ids of each of the words, given as large binaries."""
+    heaped = np.array(pc.greater(pc.binary_length(words), long))
+    rest = words.filter(pa.array(~heaped))
+    parts = [merged(rest.slice(at, MERGED), ranks) for at in range(0, max(1, len(rest)), MERGED)]
+    slow = [np.array(merged_by_heap(w, ranks.of), np.int32) for w in words.filter(pa.array(heaped)).to_pylist()]
+    counts = np.empty(len(words), np.int64)
+    counts[~heaped], counts[heaped] = np.concatenate([n for _, n in parts]), [len(ids) for ids in slow]
+    flat, of_slow = np.empty(counts.sum(), np.int32), np.repeat(heaped, counts)
+    flat[~of_slow] = np.concatenate([ids for ids, _ in parts])
+    if slow:
+        flat[of_slow] = np.concatenate(slow)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat))
+
+
+def _encoder(shared, known: int, long: int) -> Callable:
+    """Batches of texts' words -> a row for each text with its ids, in batches of at most `known` words or of one text."""
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
             lists = batch.column("words")
-            flat = lists.flatten()
-            codes = pc.index_in(flat, value_set=held)
-            missing = pc.is_null(codes)
-            rare = flat.filter(missing).dictionary_encode()
-            codes = pc.replace_with_mask(codes, missing, pc.add(rare.indices, pa.scalar(len(held), pa.int32())))
-            kept = batch.column("kept")
-
-            def one(values):
-                return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([one(kept), one(lists.value_lengths()), one(codes), one(rare.dictionary)],
-                                             ["kept", "sizes", "codes", "rare"])
-    return split
-
-
-def _gather(known, ranks: dict[bytes, int]) -> Callable:
-    """Rows of `_split` with the ids of their rare words -> one row for each text with its ids."""
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = known.value["ids"].combine_chunks()
-        for batch in batches:
-            for i in range(batch.num_rows):
-                kept, sizes, codes, rare, found = (batch.column(name)[i].values for name in ("kept", "sizes", "codes", "rare", "rare_ids"))
-                long = pc.is_null(found)
-                if pc.any(long).as_py():
-                    heaped = [merged_by_heap(w.encode(), ranks) for w in rare.filter(long).to_pylist()]
-                    found = _filled(found, heaped)
-                every = pa.concat_arrays([held, found.cast(held.type)])
-                starts = np.concatenate([[0], np.cumsum(np.array(sizes))])
-                for at in range(0, len(sizes), TEXTS):
-                    part = starts[at:at + TEXTS + 1]
-                    taken = every.take(codes.slice(part[0], part[-1] - part[0]))
-                    offsets = np.array(taken.offsets)[part - part[0]].astype(np.int32)
-                    ids = pa.ListArray.from_arrays(pa.array(offsets - offsets[0]), taken.flatten())
-                    yield pa.RecordBatch.from_arrays([kept.slice(at, TEXTS), ids], ["kept", "ids"])
-    return gather
-
-
-def _filled(found: pa.ListArray, heaped: list[list[int]]) -> pa.ListArray:
-    """`found` with its null lists filled from `heaped`, in order."""
-    rest = iter(heaped)
-    return pa.array([next(rest) if x is None else x for x in found.to_pylist()], found.type)
+            ends = np.cumsum(np.array(lists.value_lengths()), dtype=np.int64)
+            at = 0
+            while at < batch.num_rows:
+                begun = ends[at - 1] if at else 0
+                n = max(1, int(np.searchsorted(ends, begun + known, "right")) - at)
+                coded = lists.slice(at, n).flatten().dictionary_encode()
+                taken = _ids(coded.dictionary.cast(pa.large_binary()), shared.value, long).take(coded.indices)
+                offsets = np.array(taken.offsets)[np.concatenate([[0], ends[at:at + n] - begun])]
+                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), taken.values)
+                yield pa.RecordBatch.from_arrays([batch.column("kept").slice(at, n), ids], ["kept", "ids"])
+                at += n
+    return encoded
 
 
 def encode(docs: DataFrame, ranks: Ranks, pattern: str, text: str = "text", keep: list[str] | None = None,
@@ -235,19 +200,15 @@ def encode(docs: DataFrame, ranks: Ranks, pattern: str, text: str = "text", keep
     """`docs` with _ids, the ids of the whole text, instead of the text; no special tokens.
 
     Null and empty texts have no ids. `keep` names the columns to keep, all but the text unless given; their names
-    may be any but _ids. Rows stay rows, repeated ones too; an empty table gives no rows. Only word counts are
-    shuffled, folded before their shuffle; texts don't leave their tasks.
+    may be any but _ids. Rows stay rows, repeated ones too; an empty table gives no rows. Nothing is shuffled or
+    collected. A task encodes as many texts together as have at most `known` words, and at least one.
     """
-    spark = docs.sparkSession
     columns = [c for c in docs.columns if c != text] if keep is None else keep
-    shared = spark.sparkContext.broadcast(known_words(docs.select(F.col(text).alias("text")), ranks, pattern, known))
-    pa.default_memory_pool().release_unused()              # of the collected words
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
     kept = F.struct(F.lit(True).alias("_here"), *[F.col(f"`{c}`") for c in columns])
     lists = docs.select(kept.alias("kept"), words(F.col(text), pattern).alias("words"))
     kind = lists.schema["kept"].dataType.simpleString()
-    batches = lists.mapInArrow(_split(shared), f"kept array<{kind}>, sizes array<int>, codes array<int>, rare array<string>")
-    folded = F.transform("rare", lambda w: F.when(F.octet_length(w) <= LONG, merged(F.encode(w, "UTF-8"), ranks)))
-    done = batches.withColumn("rare_ids", folded).mapInArrow(_gather(shared, ranks.of), f"kept {kind}, ids array<int>")
+    done = lists.mapInArrow(_encoder(shared, known, LONG), f"kept {kind}, ids array<int>")
     return done.select(*[F.col(f"kept.`{c}`").alias(c) for c in columns], F.col("ids").alias("_ids"))
 
 

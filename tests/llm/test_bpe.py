@@ -3,8 +3,10 @@
 import hashlib
 import random
 import struct
+import types
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -93,3 +95,36 @@ def test_every_code_point_is_cut_as_in_the_library(spark, library):
     for r in found:
         joined = any(kinds[k].encode_ordinary(chr(r.p)) for k in kinds)
         assert r.n == (2 if joined or r.p == 0x20 else 3), hex(r.p)
+
+
+def test_plan_holds_no_ranks_and_no_job_runs_before_the_rows_are_asked_for(spark, ranks):
+    """Ranks in the plan and words collected to the driver were what filled its memory."""
+    docs = spark.createDataFrame([(i, f"some words and number {i}") for i in range(100)], "doc_id long, text string")
+    spark.sparkContext.setJobGroup("bpe-plan", "")
+    try:
+        encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+        plan = encoded._jdf.queryExecution().toString()
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("bpe-plan")
+    finally:
+        spark.sparkContext._jsc.sc().clearJobGroup()
+    assert len(plan) < 200_000                             # all four plans; the pattern with its classes spelled out is most of them
+
+
+def test_texts_of_a_batch_are_encoded_a_part_at_a_time(ranks, library):
+    """One batch of many texts isn't held in one piece; texts aren't cut, also if they have more words than the limit."""
+    lists = [["The", " cat", " sat"], [], [" on"] * 7, [" the", " mat"], ["x" * 70], [], [" cat"] * 4, []]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(lists))), pa.array(lists, pa.list_(pa.string()))], ["kept", "words"])
+    found = list(bpe._encoder(types.SimpleNamespace(value=ranks), 5, 64)([batch, batch.slice(0, 0), batch.slice(3, 2)]))
+    assert [b.column("kept").to_pylist() for b in found] == [[0, 1], [2], [3, 4, 5], [6, 7], [3, 4]]
+    for b in found:
+        for i, ids in zip(*(c.to_pylist() for c in b.columns)):
+            assert ids == [x for w in lists[i] for x in library._encode_single_piece(w.encode())]
+
+
+def test_rounds_equal_library(ranks, library):
+    rng = random.Random(11)
+    words = ["".join(rng.choice(["a", "b", "aa", "ab", "th", "he", " ", "é", "😀"]) for _ in range(rng.randint(1, 40))).encode() for _ in range(500)]
+    words += [b"", b"a", b"", bytes(range(256))]
+    ids, counts = bpe.merged(pa.array(words, pa.large_binary()).slice(3), ranks)
+    ends = counts.cumsum()
+    assert [ids[b - n:b].tolist() for n, b in zip(counts, ends)] == [library._encode_single_piece(w) if w else [] for w in words[3:]]
