@@ -95,6 +95,18 @@ def test_tokens_are_the_librarys(steps):
     assert all(r["n_tokens"] == len(r["ids"]) for r in steps[5])
 
 
+def test_tokenizing_collects_nothing_and_plans_without_the_ranks(spark):
+    """The driver holds neither words nor, in each plan and its description, the ranks."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    spark.sparkContext.setJobGroup("tokenize-plan", "")
+    try:
+        plan = corpus_pipeline.tokenize(spark, docs, FOLDER)._jdf.queryExecution().toString()
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("tokenize-plan")
+    finally:
+        spark.sparkContext._jsc.sc().clearJobGroup()
+    assert len(plan) < 400_000
+
+
 def test_no_documents(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
